@@ -21,12 +21,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspan.llm.compact_windows import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"), passage=50, similarity=0.8)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspan.llm.partenum import similar_components
 
     return similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspan.llm.pivot_index import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspan.llm.bradley_terry import classify
 
@@ -39,6 +51,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspan.llm.pii_crf import annotate
+
+    return annotate(table(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspan.llm.prefix_hash import edited
 
