@@ -7,10 +7,11 @@ smaller set is in one band, the element domain is hashed into ``n1`` parts of ``
 of its subparts is the same in both sets. Such choices are the signatures; sets that share one are candidates.
 
 Order of work, made for hot groups: equal sets collapse to one representative before anything is joined; a signature
-group of up to ``GROUP`` representatives gives all its pairs, a larger one a star around its least member, and its members
-come back, with the longer signatures of the second level, for the pairs across components found so far. Candidates
+group of up to ``GROUP`` representatives gives all its pairs, a larger one a star around its least member. Candidates
 are screened by a byte sketch that never rejects a true pair, then verified on the exact shingle sets: first one pair a
-document (a spanning forest), then only pairs that still cross components. No link that joins two components is lost.
+document (a spanning forest), then only pairs that still cross components. Members of larger groups that signatures
+connect are then dealt in blocks of ``BLOCK``, every block meets every other in a task of its own, and only pairs
+that cross components and pass the screen leave it. No link that joins two components is lost.
 
 Null text and text without words is an empty set, linked with nothing; a null id is never linked and keeps a null
 component. Only the two named columns are read; other columns, of any name, don't matter.
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.common import as_signed, chunks, components, materialize, mix, release, shingles, text_arrays, words
 
-#: (k2, n2) of the first level, and of the second for members of larger groups.
-LEVELS = ((1, 3), (2, 8))
-#: Representatives that share a signature and are all paired at the first level.
-GROUP = 128
-#: Ids up to which those to verify are broadcast rather than shuffled with the texts (8 MB).
+#: k2 and n2: differences allowed in a part, and its subparts.
+LEVEL = (1, 3)
+#: Representatives that share a signature and are paired one by one.
+GROUP = 24
+#: Members of larger groups that meet as many others in one task.
+BLOCK = 256
+#: Ids up to which they are broadcast rather than shuffled with signatures or texts (8 MB).
 BROADCAST_IDS = 1_000_000
 _BAND = 1.3
 
@@ -111,16 +114,16 @@ class Scheme:
 
     def sketch(self, s: np.ndarray, band: int, d: int) -> bytes:
         """A byte for each of many parts: sets differ in at least as many elements as bytes."""
-        n = max(8, 4 * d)
+        n = 8 + 5 * d // 2
         part = (mix(s + np.uint64(77 + band)) % np.uint64(n)).astype(np.int64)
         sums = np.zeros(n, np.uint64)
         np.add.at(sums, part, mix(s ^ np.uint64(0xE7037ED1A0B428DB)))
         return (sums >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def _prepare(text: str, k: int, percent: int, level: int):
+def _prepare(text: str, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(percent, *LEVELS[level])
+        scheme = Scheme(percent, *LEVEL)
         for b in chunks(batches, text):
             h, off = shingle_sets(b, text, k)
             n = np.diff(off)
@@ -133,7 +136,7 @@ def _prepare(text: str, k: int, percent: int, level: int):
                 found = list(scheme.instances(len(s))) if len(s) else []
                 sig.append(as_signed(scheme.signatures(s)) if len(s) else [])
                 bands.append([x for x, d in found if d > 0])
-                sketches.append([scheme.sketch(s, x, d) for x, d in found if d > 0] if level == 0 else [])
+                sketches.append([scheme.sketch(s, x, d) for x, d in found if d > 0])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(as_signed(one[off[1:]] - one[off[:-1]])), pa.array(as_signed(two[off[1:]] - two[off[:-1]])), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.binary()))],
                 ["doc_id", "n_shingles", "key1", "key2", "sig", "band", "sketch"],
@@ -145,21 +148,16 @@ def _prepare(text: str, k: int, percent: int, level: int):
 _PREPARED = "doc_id long, n_shingles long, key1 long, key2 long, sig array<long>, band array<int>, sketch array<binary>"
 
 
-def _pairs(last: bool):
-    """From rows (sig, id, comp) in order of sig: candidate pairs, or (hot members) marked by b = null."""
+def _pairs():
+    """From rows (sig, id) in order of sig: candidate pairs; hot for those of a star in place of all pairs."""
 
-    def group(ids: np.ndarray, comp: np.ndarray, out: list) -> None:
-        ids, first = np.unique(ids, return_index=True)
-        comp = comp[first]
-        if len(ids) < 2:
-            return
-        if not last and len(ids) > GROUP:
-            out.append((np.full(len(ids) - 1, ids[0]), ids[1:], np.zeros(len(ids) - 1, bool)))
-            out.append((ids, ids, np.ones(len(ids), bool)))
-            return
-        for i in range(len(ids) - 1):
-            b = ids[i + 1 :][comp[i + 1 :] != comp[i]]
-            out.append((np.full(len(b), ids[i]), b, np.zeros(len(b), bool)))
+    def group(ids: np.ndarray, out: list) -> None:
+        ids = np.unique(ids)
+        if len(ids) > GROUP:
+            out.append((np.full(len(ids) - 1, ids[0]), ids[1:], np.ones(len(ids) - 1, bool)))
+        elif len(ids) > 1:
+            i, j = np.triu_indices(len(ids), 1)
+            out.append((ids[i], ids[j], np.zeros(len(i), bool)))
 
     def table(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[j] for x in out])) for j in range(3)], ["a", "b", "hot"])
@@ -168,19 +166,19 @@ def _pairs(last: bool):
         rest: tuple[np.ndarray, ...] | None = None
         out: list = []
         for b in batches:
-            cols = tuple(b.column(j).to_numpy() for j in range(3))
+            cols = tuple(b.column(j).to_numpy() for j in range(2))
             if rest is not None:
                 cols = tuple(np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True))
             cut = np.flatnonzero(np.diff(cols[0])) + 1
             edges = np.concatenate([[0], cut])
             for s, e in zip(edges[:-1][np.diff(edges) > 1], edges[1:][np.diff(edges) > 1], strict=True):
-                group(cols[1][s:e], cols[2][s:e], out)
-                if sum(len(x[0]) for x in out[-1:]) and len(out) > 2000:
+                group(cols[1][s:e], out)
+                if len(out) > 2000:
                     yield table(out)
                     out = []
             rest = tuple(x[edges[-1] :] for x in cols)
         if rest is not None and len(rest[0]) > 1:
-            group(rest[1], rest[2], out)
+            group(rest[1], out)
         if out:
             yield table(out)
 
@@ -215,7 +213,7 @@ def _screen(percent: int):
     """Keeps the pairs whose sketches, in a band that both have, differ in no more bytes than similar sets can."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(percent, *LEVELS[0])
+        scheme = Scheme(percent, *LEVEL)
         for b in batches:
             col = {c: b.column(c).to_pylist() for c in ("na", "nb", "ba", "bb", "sa", "sb")}
             keep = []
@@ -233,13 +231,45 @@ def _screen(percent: int):
     return run
 
 
+def _blocks(percent: int):
+    """All pairs of the rows of one or two blocks that cross components and pass the screen."""
+
+    def run(table: pa.Table) -> pa.Table:
+        scheme = Scheme(percent, *LEVEL)
+        col = {c: table.column(c).to_pylist() for c in ("id", "comp", "n", "own", "band", "sketch")}
+        one = table.column("i")[0].as_py() == table.column("j")[0].as_py() if table.num_rows else True
+        by_band: dict[int, list[tuple[int, bytes]]] = {}
+        for r, (bands, sketches) in enumerate(zip(col["band"], col["sketch"], strict=True)):
+            for band, x in zip(bands, sketches, strict=True):
+                by_band.setdefault(band, []).append((r, x))
+        ids, comp, n, own = (np.array(col[c], np.int64) for c in ("id", "comp", "n", "own"))
+        found = set()
+        for rows in by_band.values():
+            at = np.array([r for r, _ in rows])
+            bits = np.frombuffer(b"".join(x for _, x in rows), np.uint8).reshape(len(rows), -1)
+            for k in range(len(rows) - 1):
+                r, others = at[k], at[k + 1 :]
+                total = n[r] + n[others]
+                ok = (comp[others] != comp[r]) & (100 * np.minimum(n[r], n[others]) >= percent * np.maximum(n[r], n[others]))
+                if not one:
+                    ok &= own[others] != own[r]
+                some = np.flatnonzero(ok)
+                apart = (bits[k + 1 :][some] != bits[k]).sum(axis=1)
+                for x in others[some[apart <= total[some] * (100 - percent) // (100 + percent)]].tolist():
+                    found.add((min(ids[r], ids[x]), max(ids[r], ids[x])))
+        pairs = sorted(found)
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+    return run
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """One row a document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links).
 
     A null text has ``n_shingles`` 0 and is its own component; a null id has a null component.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prepared = materialize(source.mapInArrow(_prepare("text", k, percent, 0), _PREPARED))
+    prepared = materialize(source.mapInArrow(_prepare("text", k, percent), _PREPARED))
     member = prepared.select("doc_id", "n_shingles", "key1", "key2")
     classes = member.where("n_shingles > 0").groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     member = materialize(member.join(classes, ["n_shingles", "key1", "key2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
@@ -247,9 +277,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = prepared.where("size(sig) > 0").join(reps, "doc_id", "left_semi")
     sketches = rows.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "band", "sketch")
 
-    def candidates(signed: DataFrame, last: bool) -> DataFrame:
-        return signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(last), "a long, b long, hot boolean")
-
     def screened(pairs: DataFrame) -> DataFrame:
         a = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("band").alias("ba"), F.col("sketch").alias("sa"))
         b = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("band").alias("bb"), F.col("sketch").alias("sb"))
@@ -269,17 +296,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
     signed = rows.select(F.explode("sig").alias("sig"), F.col("doc_id").alias("id"))
-    found = materialize(candidates(signed.withColumn("comp", F.col("id")), False).distinct())
-    pairs = screened(found.where("not hot").select("a", "b"))
+    found = materialize(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(), "a long, b long, hot boolean").groupBy("a", "b").agg(F.max("hot").alias("hot")))
+    pairs = screened(found.select("a", "b"))
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     comp = materialize(components(links))
     links = materialize(links.unionByName(verified(across(pairs, comp))))
     comp = materialize(components(links))
-    hot = found.where("hot").select(F.col("a").alias("doc_id")).distinct()
+    hot = found.where("hot").select("a", "b")
     if hot.limit(1).count():
-        again = source.join(hot, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_prepare("text", k, percent, 1), _PREPARED)
-        signed = again.select(F.explode("sig").alias("sig"), F.col("doc_id").alias("id")).join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
-        more = verified(screened(candidates(signed, True).select("a", "b").distinct()))
-        comp = materialize(components(links.unionByName(more)))
+        cluster = materialize(components(hot).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
+        blocks = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        own = cluster.join(blocks, "cluster").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sketches, "doc_id")
+        own = own.select(F.col("doc_id").alias("id"), "cluster", F.coalesce("component", "doc_id").alias("comp"), F.col("n_shingles").alias("n"), "band", "sketch", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own"))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp", "n", "own", "band", "sketch")
+        more = materialize(dealt.groupBy("cluster", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct())
+        comp = materialize(components(links.unionByName(verified(more))))
     release(found, pairs)
     return member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
