@@ -274,7 +274,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = member.where("n_shingles > 0").groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     member = materialize(member.join(classes, ["n_shingles", "key1", "key2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
     reps = member.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct()
-    rows = prepared.where("size(sig) > 0").join(reps, "doc_id", "left_semi")
+    few = reps.count() <= BROADCAST_IDS
+    rows = prepared.where("size(sig) > 0").join(F.broadcast(reps) if few else reps, "doc_id", "left_semi")
     sketches = rows.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "band", "sketch")
 
     def screened(pairs: DataFrame) -> DataFrame:
