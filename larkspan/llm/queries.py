@@ -33,6 +33,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspan.llm.line_edit import duplicate_lines
+
+    return duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspan.llm.pivot_index import near_duplicates
 
