@@ -11,9 +11,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch: rows hold whole documents, of which the default of ten thousand makes tens of megabytes.
+BATCH_ROWS = 500
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a context, so that Python functions find it there."""
+    """Send this package to the executors, once a context, so that Python functions find it there; and keep Arrow batches
+    small, unless the session has a size of its own."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_larkspan_shipped", False):
         return
     root = Path(__file__).resolve().parent
