@@ -4,9 +4,11 @@ Lines within edit distance ``TAU`` of each other are linked. Equal lines collaps
 are cut into ``TAU + 1`` segments of nearly equal length; of two linked lines, some segment of the shorter stands
 unchanged in the longer, at a place that differs by few characters. So each line lists its own segments, with their
 number and its length, and looks up the substrings of itself that could be such segments in lists of its length and of
-up to ``TAU`` less (:func:`probes` has the places that suffice). Lines that meet are verified by a banded bit-parallel
-edit distance (:func:`edit_distance_within`): one 64-bit word holds the band of a column, and a fold over the
-characters of the longer line updates it.
+up to ``TAU`` less (:func:`probes` has the places that suffice). Pairs that meet are screened (:func:`may_be_near`: of many
+short pieces of one line all but ``TAU`` stand in the other), relieved of common ends, and verified by a banded
+bit-parallel edit distance (:func:`edit_distance_within`): one word holds the band of a column, and a fold over
+the characters of a line updates it. Lists of more than ``LIST`` lines only tell who looks them up; they and those carry their
+texts into a join of their own, which screens by the built-in bounded distance and puts out only pairs that pass.
 
 Of each class of linked lines the first in order of (document, line number) is kept. Lines of fewer than ``MIN_CHARS``
 characters are too short to tell copies from chance and take no part. Null texts have no lines; empty texts one empty
@@ -22,6 +24,10 @@ from larkspan.llm.common import components, materialize, release
 
 TAU = 2
 MIN_CHARS = 24
+#: Lines in a list that are paired before their texts are looked at.
+LIST = 16
+#: Pieces that the screen cuts a line into.
+PIECES = 12
 #: Rows up to which a counted set is broadcast (16 MB).
 BROADCAST_ROWS = 1_000_000
 
@@ -37,22 +43,22 @@ def _signature(line: Column, length: Column, i: int, place: Column, size: Column
     return F.xxhash64(length, F.lit(i), F.substr(line, place, size))
 
 
-def segments(line: Column) -> Column:
-    """Signatures of a line's own segments."""
-    n = F.length(line)
+def segments(line: Column, n: Column) -> Column:
+    """Signatures of the own segments of a line of length ``n``."""
     return F.array(*(_signature(line, n, i, *_segment(n, i)) for i in range(TAU + 1)))
 
 
-def probes(line: Column) -> Column:
-    """Signatures to look up: for each length, and each segment of it, substrings whose shift leaves enough edits for
-    what stands on either side. Those of its own length and places are the line's own segments."""
+def probes(line: Column, length: Column) -> Column:
+    """Signatures to look up besides a line's own segments: for each length up to ``TAU`` less, and each segment of it,
+    substrings whose shift leaves enough edits for what stands on either side."""
     out = []
     for less in range(TAU + 1):
-        n = F.length(line) - less
+        n = length - less
         for i in range(TAU + 1):
             place, size = _segment(n, i)
             for shift in range(max(-i, less - (TAU - i)), min(i, less + (TAU - i)) + 1):
-                out.append(_signature(line, n, i, place + shift, size))
+                if less or shift:
+                    out.append(_signature(line, n, i, place + shift, size))
     return F.array(*out)
 
 
@@ -94,6 +100,34 @@ def edit_distance_within(a: Column, b: Column, tau: int = TAU) -> Column:
     return F.coalesce(F.when(p - q > tau, False).when(q == 0, p <= tau).otherwise(score <= tau), F.lit(False))
 
 
+def may_be_near(a: Column, b: Column, tau: int = TAU, pieces: int = PIECES) -> Column:
+    """False only for strings more than ``tau`` edits apart: an edit changes one of the pieces of the shorter."""
+    first = F.length(a) <= F.length(b)
+    short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+    missing = F.lit(0)
+    for i in range(pieces):
+        start = F.floor(F.length(short) * i / pieces).cast("int")
+        stop = F.floor(F.length(short) * (i + 1) / pieces).cast("int")
+        missing = missing + F.when(F.contains(long, F.substr(short, start + 1, stop - start)), 0).otherwise(1)
+    return missing <= tau
+
+
+def without_common_ends(pairs: DataFrame, x: str = "x", y: str = "y", steps: int = 5) -> DataFrame:
+    """Strings ``x`` and ``y`` less most of what they begin and end with alike, which leaves their edit distance as it is."""
+    for i in range(steps):
+        n = F.floor(F.least(F.length(x), F.length(y)) / 2).cast("int")
+        same = F.substr(F.col(x), F.lit(1), n) == F.substr(F.col(y), F.lit(1), n)
+        pairs = pairs.withColumn("__n", F.when(same, n).otherwise(F.floor(n / 2).cast("int")))
+        same = F.substr(F.col(x), F.lit(1), F.col("__n")) == F.substr(F.col(y), F.lit(1), F.col("__n"))
+        pairs = pairs.withColumn("__n", F.when(same, F.col("__n")).otherwise(0)).withColumns({c: F.substr(F.col(c), F.col("__n") + 1) for c in (x, y)})
+        n = F.floor(F.least(F.length(x), F.length(y)) / 2).cast("int")
+        same = F.right(F.col(x), n) == F.right(F.col(y), n)
+        pairs = pairs.withColumn("__n", F.when(same, n).otherwise(F.floor(n / 2).cast("int")))
+        same = F.right(F.col(x), F.col("__n")) == F.right(F.col(y), F.col("__n"))
+        pairs = pairs.withColumn("__n", F.when(same, F.col("__n")).otherwise(0)).withColumns({c: F.substr(F.col(c), F.lit(1), F.length(c) - F.col("__n")) for c in (x, y)})
+    return pairs.drop("__n")
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``line_no`` (from 0) and ``line`` of each line."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
@@ -109,15 +143,35 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeats = materialize(base.join(copied, "k").where("struct(doc_id, line_no) <> first").select("doc_id", "line_no"))
     few = repeats.count() <= BROADCAST_ROWS
     single = lines.join(F.broadcast(repeats) if few else repeats, ["doc_id", "line_no"], "left_anti").select("k", "line")
-    own = single.select("k", F.explode(segments(F.col("line"))).alias("sig"))
-    sought = single.select("k", F.explode(probes(F.col("line"))).alias("sig"))
-    met = own.alias("o").join(sought.alias("s"), "sig").where("o.k <> s.k").select(F.least("o.k", "s.k").alias("a"), F.greatest("o.k", "s.k").alias("b"))
-    pairs = materialize(met.distinct())
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = materialize(single.join(F.broadcast(wanted) if small else wanted, "k", "left_semi").dropDuplicates(["k"]).select("k", F.split("line", "").alias("chars")))
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("chars").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("chars").alias("y")), "b")
-    links = materialize(both.where(edit_distance_within(F.col("x"), F.col("y"))).select("a", "b"))
+    # arrays are columns of their own so that what their parts share is computed once a line
+    sized = single.withColumn("n", F.length("line"))
+    own = materialize(sized.withColumn("sigs", segments(F.col("line"), F.col("n"))).select("k", F.explode("sigs").alias("sig")))
+    sought = sized.withColumn("sigs", probes(F.col("line"), F.col("n"))).select("k", F.explode("sigs").alias("sig"))
+    long = materialize(own.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST).select("sig"))
+    crowds = long.count()
+    hint = F.broadcast if crowds <= BROADCAST_ROWS else (lambda df: df)
+    # a long list is one row without a line, which only tells who looks it up
+    lists = own.join(hint(long), "sig", "left_anti").unionByName(long.withColumn("k", F.lit(None).cast("long"))) if crowds else own
+    met = lists.alias("o").join(sought.unionByName(own).alias("s"), "sig").where("o.k is null or o.k <> s.k")
+    met = materialize(met.select(F.when(F.col("o.k").isNull(), F.col("sig")).alias("sig"), F.least("o.k", "s.k").alias("a"), F.when(F.col("o.k").isNotNull(), F.greatest("o.k", "s.k")).alias("b")).distinct())
+    pairs = met.where("sig is null").select("a", "b")
+    seekers = met.where("sig is not null").select("sig", F.col("a").alias("k"))
+    members = own.join(hint(long), "sig", "left_semi")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).unionByName(seekers.select("k"))
+    wanted = materialize((wanted.unionByName(members.select("k")) if crowds else wanted).distinct())
+    hint2 = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
+    texts = materialize(single.join(hint2(wanted), "k", "left_semi").dropDuplicates(["k"]).select("k", "line"))
+    near = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("line").alias("y")), "b")
+    near = near.where(may_be_near(F.col("x"), F.col("y")))
+    if crowds:
+        here, there = members.join(texts, "k"), seekers.join(texts, "k")
+        meet = (F.col("o.sig") == F.col("s.sig")) & (F.col("o.k") != F.col("s.k")) & (F.levenshtein("o.line", "s.line", TAU) >= 0)
+        less = F.col("o.k") < F.col("s.k")
+        crowded = here.alias("o").join(there.alias("s"), meet).select(F.least("o.k", "s.k").alias("a"), F.greatest("o.k", "s.k").alias("b"), F.when(less, F.col("o.line")).otherwise(F.col("s.line")).alias("x"), F.when(less, F.col("s.line")).otherwise(F.col("o.line")).alias("y"))
+        near = near.unionByName(crowded.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y")))
+    cut = materialize(without_common_ends(near).select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y")))
+    links = materialize(cut.where(edit_distance_within(F.col("x"), F.col("y"))).select("a", "b").distinct())
+    release(cut, own)
     comp = materialize(components(links).select(F.col("node").alias("k"), "component"))
     part = base.join(copied.select("k"), "k", "left_semi").unionByName(base.join(comp.select("k"), "k", "left_semi")).distinct()
     part = part.join(comp, "k", "left").select("doc_id", "line_no", F.coalesce("component", "k").alias("class"))
