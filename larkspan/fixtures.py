@@ -72,11 +72,11 @@ def claims_sql() -> str:
     return f"SELECT * FROM (VALUES {', '.join(values)}) t(hex_ord, h3_res9_id, minsignal, x0, y0, x1, y1, ax, ay, bx, by_)"
 
 
-#: Polylines in longitudes and latitudes.
+#: Polylines in longitudes and latitudes, off the lattice of the measurements so that no two are equally near.
 ROADS = [
-    ("Main St", [(-81.80 + 0.01 * k, 32.40) for k in range(11)]),
-    ("Second Ave", [(-81.75, 32.35 + 0.01 * k) for k in range(11)]),
-    ("nan", [(-81.79, 32.36), (-81.77, 32.38), (-81.76, 32.38)]),
+    ("Main St", [(-81.80 + 0.01 * k, 32.40035) for k in range(11)]),
+    ("Second Ave", [(-81.75045, 32.35 + 0.01 * k) for k in range(11)]),
+    ("nan", [(-81.79013, 32.36), (-81.77013, 32.38027), (-81.76, 32.38027)]),
 ]
 
 
