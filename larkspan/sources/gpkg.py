@@ -146,6 +146,8 @@ class GpkgSource(DataSource):
 
 
 def register(spark) -> None:
+    """Make the format known to a session, and let filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GpkgSource)
 
 
