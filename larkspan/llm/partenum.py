@@ -9,9 +9,13 @@ of its subparts is the same in both sets. Such choices are the signatures; sets
 Order of work, made for hot groups: equal sets collapse to one representative before anything is joined; a signature
 group of up to ``GROUP`` representatives gives all its pairs, a larger one a star around its least member. Candidates
 are screened by a byte sketch that never rejects a true pair, then verified on the exact shingle sets: first one pair a
-document (a spanning forest), then only pairs that still cross components. Members of larger groups that signatures
-connect are then dealt in blocks of ``BLOCK``, every block meets every other in a task of its own, and only pairs
-that cross components and pass the screen leave it. No link that joins two components is lost.
+document (a spanning forest), then only pairs that still cross components. Members of each larger group are then dealt
+in blocks of ``BLOCK``, every block meets every other in a unit of work, and only pairs that cross components and pass
+the screen leave it. No link that joins two components is lost.
+
+A choice of subparts that is empty in a set makes a signature that says little and that many sets have. So there are
+``slack`` more parts than needed; of a similar pair more than ``slack`` parts have few enough differences, and a set in
+which no more than ``slack`` parts have an empty choice can do without signatures of those.
 
 Null text and text without words is an empty set, linked with nothing; a null id is never linked and keeps a null
 component. Only the two named columns are read; other columns, of any name, don't matter.
@@ -81,6 +85,10 @@ class Scheme:
         """Largest symmetric difference of two similar sets with ``total`` elements together."""
         return total * (100 - self.percent) // (100 + self.percent)
 
+    @staticmethod
+    def slack(n1: int) -> int:
+        return 0 if n1 < 3 else 1 if n1 < 8 else 2 if n1 < 24 else 4
+
     def instances(self, size: int) -> Iterator[tuple[int, int]]:
         """(band, largest difference) of the bands for which a set of this size has signatures."""
         bounds = band_bounds(size)
@@ -92,33 +100,35 @@ class Scheme:
                 if size <= partner:
                     yield i, self.most_apart(high + partner)
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Of one set of distinct hashes; none for a band in which only equal sets are similar."""
-        out = []
+    def describe(self, s: np.ndarray) -> tuple[np.ndarray, list[int], list[bytes]]:
+        """Signatures of one set of distinct hashes, its bands, and a sketch for each of them: a byte for each subpart, so
+        that sets differ in at least as many elements as bytes. Nothing for bands in which only equal sets are similar."""
+        out, bands, sketches = [], [], []
+        content = mix(s ^ np.uint64(0xA0761D6478BD642F))
+        low, high = (content & np.uint64(0xFFFFFFFF)).astype(float), (content >> np.uint64(32)).astype(float)
         for band, d in self.instances(len(s)):
             if d < 1:
                 continue
             n1 = -(-(d + 1) // (self.k2 + 1))
+            slack = self.slack(n1)
+            n1 += slack
             salt = np.full(1, band * 1_000_003 + self.n2, np.uint64)
             part = (mix(s + mix(salt)) % np.uint64(n1 * self.n2)).astype(np.int64)
-            sums = np.zeros(n1 * self.n2, np.uint64)
-            np.add.at(sums, part, mix(s ^ np.uint64(0xA0761D6478BD642F)))
-            sums = sums.reshape(n1, self.n2)
+            # halves of up to two million numbers below 2**32 add up exactly
+            halves = [np.bincount(part, weights=w, minlength=n1 * self.n2).astype(np.uint64) for w in (low, high)]
+            sums = mix(halves[0] + (halves[1] << np.uint64(32))).reshape(n1, self.n2)
+            filled = np.bincount(part, minlength=n1 * self.n2).reshape(n1, self.n2) > 0
+            bands.append(band)
+            sketches.append((sums >> np.uint64(56)).astype(np.uint8).tobytes())
             place = np.arange(n1, dtype=np.uint64) * np.uint64(len(self.choices))
+            some = np.stack([filled[:, list(c)].any(axis=1) for c in self.choices])
+            every = (~some.all(axis=0)).sum() > slack
             for c, choice in enumerate(self.choices):
-                h = mix(place + np.uint64(c) + (salt << np.uint64(32)))
+                h = place + (np.uint64(c) + (salt << np.uint64(32)))
                 for j in choice:
                     h = mix(h + sums[:, j])
-                out.append(h)
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-    def sketch(self, s: np.ndarray, band: int, d: int) -> bytes:
-        """A byte for each of many parts: sets differ in at least as many elements as bytes."""
-        n = 8 + 5 * d // 2
-        part = (mix(s + np.uint64(77 + band)) % np.uint64(n)).astype(np.int64)
-        sums = np.zeros(n, np.uint64)
-        np.add.at(sums, part, mix(s ^ np.uint64(0xE7037ED1A0B428DB)))
-        return (sums >> np.uint64(56)).astype(np.uint8).tobytes()
+                out.append(h if every else h[some[c]])
+        return (np.concatenate(out) if out else np.zeros(0, np.uint64)), bands, sketches
 
 
 def _prepare(text: str, k: int, percent: int):
@@ -133,10 +143,9 @@ def _prepare(text: str, k: int, percent: int):
             sig, bands, sketches = [], [], []
             for i in range(b.num_rows):
                 s = h[off[i] : off[i + 1]]
-                found = list(scheme.instances(len(s))) if len(s) else []
-                sig.append(as_signed(scheme.signatures(s)) if len(s) else [])
-                bands.append([x for x, d in found if d > 0])
-                sketches.append([scheme.sketch(s, x, d) for x, d in found if d > 0])
+                found = scheme.describe(s) if len(s) else (s, [], [])
+                for col, x in zip((sig, bands, sketches), (as_signed(found[0]), *found[1:]), strict=True):
+                    col.append(x)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(as_signed(one[off[1:]] - one[off[:-1]])), pa.array(as_signed(two[off[1:]] - two[off[:-1]])), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.binary()))],
                 ["doc_id", "n_shingles", "key1", "key2", "sig", "band", "sketch"],
@@ -149,18 +158,20 @@ _PREPARED = "doc_id long, n_shingles long, key1 long, key2 long, sig array<long>
 
 
 def _pairs():
-    """From rows (sig, id) in order of sig: candidate pairs; hot for those of a star in place of all pairs."""
+    """From rows (sig, id) in order of sig: candidate pairs of each group; of a large one a star, and its members (b null)."""
 
-    def group(ids: np.ndarray, out: list) -> None:
+    def group(sig: int, ids: np.ndarray, out: list) -> None:
         ids = np.unique(ids)
         if len(ids) > GROUP:
-            out.append((np.full(len(ids) - 1, ids[0]), ids[1:], np.ones(len(ids) - 1, bool)))
+            out.append((np.full(len(ids) - 1, sig), np.full(len(ids) - 1, ids[0]), ids[1:], np.ones(len(ids) - 1, bool)))
+            out.append((np.full(len(ids), sig), ids, ids, np.zeros(len(ids), bool)))
         elif len(ids) > 1:
             i, j = np.triu_indices(len(ids), 1)
-            out.append((ids[i], ids[j], np.zeros(len(i), bool)))
+            out.append((np.full(len(i), sig), ids[i], ids[j], np.ones(len(i), bool)))
 
     def table(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[j] for x in out])) for j in range(3)], ["a", "b", "hot"])
+        sig, a, b, pair = (np.concatenate([x[j] for x in out]) for j in range(4))
+        return pa.RecordBatch.from_arrays([pa.array(sig, mask=pair), pa.array(a), pa.array(b, mask=~pair)], ["sig", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, ...] | None = None
@@ -169,16 +180,16 @@ def _pairs():
             cols = tuple(b.column(j).to_numpy() for j in range(2))
             if rest is not None:
                 cols = tuple(np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True))
-            cut = np.flatnonzero(np.diff(cols[0])) + 1
-            edges = np.concatenate([[0], cut])
-            for s, e in zip(edges[:-1][np.diff(edges) > 1], edges[1:][np.diff(edges) > 1], strict=True):
-                group(cols[1][s:e], out)
-                if len(out) > 2000:
-                    yield table(out)
-                    out = []
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1])
+            many = np.diff(edges) > 1
+            for s, e in zip(edges[:-1][many], edges[1:][many], strict=True):
+                group(cols[0][s], cols[1][s:e], out)
+            if len(out) > 2000:
+                yield table(out)
+                out = []
             rest = tuple(x[edges[-1] :] for x in cols)
         if rest is not None and len(rest[0]) > 1:
-            group(rest[1], out)
+            group(rest[0][0], rest[1], out)
         if out:
             yield table(out)
 
@@ -297,20 +308,22 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
     signed = rows.select(F.explode("sig").alias("sig"), F.col("doc_id").alias("id"))
-    found = materialize(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(), "a long, b long, hot boolean").groupBy("a", "b").agg(F.max("hot").alias("hot")))
-    pairs = screened(found.select("a", "b"))
+    found = materialize(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(), "sig long, a long, b long").distinct())
+    pairs = screened(found.where("b is not null").select("a", "b"))
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     comp = materialize(components(links))
     links = materialize(links.unionByName(verified(across(pairs, comp))))
     comp = materialize(components(links))
-    hot = found.where("hot").select("a", "b")
+    hot = found.where("b is null").select("sig", F.col("a").alias("doc_id"))
     if hot.limit(1).count():
-        cluster = materialize(components(hot).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
-        blocks = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        own = cluster.join(blocks, "cluster").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sketches, "doc_id")
-        own = own.select(F.col("doc_id").alias("id"), "cluster", F.coalesce("component", "doc_id").alias("comp"), F.col("n_shingles").alias("n"), "band", "sketch", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own"))
-        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp", "n", "own", "band", "sketch")
-        more = materialize(dealt.groupBy("cluster", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct())
+        blocks = hot.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        own = hot.join(blocks, "sig").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        # a group of one component has nothing left to find
+        mixed = own.groupBy("sig").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("sig")
+        own = own.join(mixed, "sig", "left_semi").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", F.col("component").alias("comp"), "own")
+        dealt = dealt.join(sketches, "doc_id").select("sig", "i", "j", F.col("doc_id").alias("id"), "comp", F.col("n_shingles").alias("n"), "own", "band", "sketch")
+        more = materialize(dealt.groupBy("sig", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct())
         comp = materialize(components(links.unionByName(verified(more))))
     release(found, pairs)
     return member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
