@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, fields, replace  # noqa: F401  replace is also used by callers
 
 PREFIX = "LARKSPAN_"
 TRUE, FALSE = ("1", "true", "yes", "on"), ("0", "false", "no", "off", "")
