@@ -4,11 +4,11 @@ Lines within edit distance ``TAU`` of each other are linked. Equal lines collaps
 are cut into ``TAU + 1`` segments of nearly equal length; of two linked lines, some segment of the shorter stands
 unchanged in the longer, at a place that differs by few characters. So each line lists its own segments, with their
 number and its length, and looks up the substrings of itself that could be such segments in lists of its length and of
-up to ``TAU`` less (:func:`probes` has the places that suffice). Pairs that meet are screened (:func:`may_be_near`: of many
-short pieces of one line all but ``TAU`` stand in the other), relieved of common ends, and verified by a banded
-bit-parallel edit distance (:func:`edit_distance_within`): one word holds the band of a column, and a fold over
-the characters of a line updates it. Lists of more than ``LIST`` lines only tell who looks them up; they and those carry their
-texts into a join of their own, which screens by the built-in bounded distance and puts out only pairs that pass.
+up to ``TAU`` less (:func:`probes` has the places that suffice). Pairs that meet are screened by the built-in bounded
+distance, so that no join puts out more than links, relieved of common ends, and verified by a banded bit-parallel edit
+distance (:func:`edit_distance_within`): one word holds the band of a column, and a fold over the characters of
+a line updates it. Lists of more than ``LIST`` lines only tell who looks them up; lines of both sides carry their
+texts into a join of their own.
 
 Of each class of linked lines the first in order of (document, line number) is kept. Lines of fewer than ``MIN_CHARS``
 characters are too short to tell copies from chance and take no part. Null texts have no lines; empty texts one empty
@@ -26,8 +26,6 @@ TAU = 2
 MIN_CHARS = 24
 #: Lines in a list that are paired before their texts are looked at.
 LIST = 16
-#: Pieces that the screen cuts a line into.
-PIECES = 12
 #: Rows up to which a counted set is broadcast (16 MB).
 BROADCAST_ROWS = 1_000_000
 
@@ -100,18 +98,6 @@ def edit_distance_within(a: Column, b: Column, tau: int = TAU) -> Column:
     return F.coalesce(F.when(p - q > tau, False).when(q == 0, p <= tau).otherwise(score <= tau), F.lit(False))
 
 
-def may_be_near(a: Column, b: Column, tau: int = TAU, pieces: int = PIECES) -> Column:
-    """False only for strings more than ``tau`` edits apart: an edit changes one of the pieces of the shorter."""
-    first = F.length(a) <= F.length(b)
-    short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
-    missing = F.lit(0)
-    for i in range(pieces):
-        start = F.floor(F.length(short) * i / pieces).cast("int")
-        stop = F.floor(F.length(short) * (i + 1) / pieces).cast("int")
-        missing = missing + F.when(F.contains(long, F.substr(short, start + 1, stop - start)), 0).otherwise(1)
-    return missing <= tau
-
-
 def without_common_ends(pairs: DataFrame, x: str = "x", y: str = "y", steps: int = 5) -> DataFrame:
     """Strings ``x`` and ``y`` less most of what they begin and end with alike, which leaves their edit distance as it is."""
     for i in range(steps):
@@ -136,8 +122,8 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``line_no``, ``class_doc_id``, ``class_line_no`` (the kept line) and ``kept`` of each line that has
     copies or near copies."""
-    lines = lines_of(docs, id_col, text_col).where("doc_id is not null").where(F.length("line") >= MIN_CHARS).withColumn("k", F.xxhash64("line"))
-    base = materialize(lines.select("doc_id", "line_no", "k"))
+    lines = materialize(lines_of(docs, id_col, text_col).where("doc_id is not null").where(F.length("line") >= MIN_CHARS).withColumn("k", F.xxhash64("line")))
+    base = lines.select("doc_id", "line_no", "k")
     classes = base.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     copied = materialize(classes.where("n > 1").select("k", "first"))
     repeats = materialize(base.join(copied, "k").where("struct(doc_id, line_no) <> first").select("doc_id", "line_no"))
@@ -162,7 +148,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hint2 = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
     texts = materialize(single.join(hint2(wanted), "k", "left_semi").dropDuplicates(["k"]).select("k", "line"))
     near = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("line").alias("y")), "b")
-    near = near.where(may_be_near(F.col("x"), F.col("y")))
+    near = near.where(F.levenshtein("x", "y", TAU) >= 0)
     if crowds:
         here, there = members.join(texts, "k"), seekers.join(texts, "k")
         meet = (F.col("o.sig") == F.col("s.sig")) & (F.col("o.k") != F.col("s.k")) & (F.levenshtein("o.line", "s.line", TAU) >= 0)
@@ -178,7 +164,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = materialize(part)
     first = part.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     out = part.join(first, "class").select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"))
-    release(wanted, texts)
+    release(wanted, texts, lines, copied, repeats, long, met, links, comp)
     return out.withColumn("kept", (F.col("doc_id") == F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
 
 
@@ -187,7 +173,9 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     lines are left go; all other rows, with no such line, stay as they are."""
     drop = duplicate_lines(docs, id_col, text_col).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__drop"))
     drop = materialize(drop.withColumnRenamed("doc_id", "__id"))
-    marked = docs.join(drop, F.col(id_col) == F.col("__id"), "left")
+    n = drop.agg(F.count(F.lit(1)), F.sum(F.size("__drop"))).first()
+    few = n[0] <= BROADCAST_ROWS and (n[1] or 0) <= 4 * BROADCAST_ROWS  # 16 MB of line numbers
+    marked = docs.join(F.broadcast(drop) if few else drop, F.col(id_col) == F.col("__id"), "left")
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(left)
     rows = marked.withColumn(text_col, text).where(F.col("__drop").isNull() | (F.length(F.trim(F.col(text_col))) > 0))

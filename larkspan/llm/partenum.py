@@ -14,8 +14,9 @@ in blocks of ``BLOCK``, every block meets every other in a unit of work, and onl
 the screen leave it. No link that joins two components is lost.
 
 A choice of subparts that is empty in a set makes a signature that says little and that many sets have. So there are
-``slack`` more parts than needed; of a similar pair more than ``slack`` parts have few enough differences, and a set in
-which no more than ``slack`` parts have an empty choice can do without signatures of those.
+twice ``slack`` more parts than needed: of a similar pair more than ``2 * slack`` parts have few enough differences. A set
+in which no more than ``slack`` parts have an empty choice does without signatures of those, and a similar pair still
+shares more than ``slack`` signatures. Pairs that share fewer are no candidates, unless a larger group pairs them.
 
 Null text and text without words is an empty set, linked with nothing; a null id is never linked and keeps a null
 component. Only the two named columns are read; other columns, of any name, don't matter.
@@ -36,7 +37,7 @@ from larkspan.llm.common import as_signed, chunks, components, materialize, mix,
 #: k2 and n2: differences allowed in a part, and its subparts.
 LEVEL = (1, 3)
 #: Representatives that share a signature and are paired one by one.
-GROUP = 24
+GROUP = 40
 #: Members of larger groups that meet as many others in one task.
 BLOCK = 256
 #: Ids up to which they are broadcast rather than shuffled with signatures or texts (8 MB).
@@ -111,7 +112,7 @@ class Scheme:
                 continue
             n1 = -(-(d + 1) // (self.k2 + 1))
             slack = self.slack(n1)
-            n1 += slack
+            n1 += 2 * slack
             salt = np.full(1, band * 1_000_003 + self.n2, np.uint64)
             part = (mix(s + mix(salt)) % np.uint64(n1 * self.n2)).astype(np.int64)
             # halves of up to two million numbers below 2**32 add up exactly
@@ -127,6 +128,8 @@ class Scheme:
                 h = place + (np.uint64(c) + (salt << np.uint64(32)))
                 for j in choice:
                     h = mix(h + sums[:, j])
+                # the lowest bits tell how many signatures a similar pair shares at least
+                h = (h & ~np.uint64(7)) | np.uint64(slack + 1)
                 out.append(h if every else h[some[c]])
         return (np.concatenate(out) if out else np.zeros(0, np.uint64)), bands, sketches
 
@@ -158,20 +161,22 @@ _PREPARED = "doc_id long, n_shingles long, key1 long, key2 long, sig array<long>
 
 
 def _pairs():
-    """From rows (sig, id) in order of sig: candidate pairs of each group; of a large one a star, and its members (b null)."""
+    """From rows (sig, id) in order of sig: pairs of each group with the number of signatures that they need to share; of a
+    large group a star, which needs none, and its members (b null)."""
 
     def group(sig: int, ids: np.ndarray, out: list) -> None:
         ids = np.unique(ids)
         if len(ids) > GROUP:
-            out.append((np.full(len(ids) - 1, sig), np.full(len(ids) - 1, ids[0]), ids[1:], np.ones(len(ids) - 1, bool)))
-            out.append((np.full(len(ids), sig), ids, ids, np.zeros(len(ids), bool)))
+            n = len(ids)
+            out.append((np.full(n - 1, sig), np.full(n - 1, ids[0]), ids[1:], np.ones(n - 1, bool), np.zeros(n - 1, np.int64)))
+            out.append((np.full(n, sig), ids, ids, np.zeros(n, bool), np.zeros(n, np.int64)))
         elif len(ids) > 1:
             i, j = np.triu_indices(len(ids), 1)
-            out.append((np.full(len(i), sig), ids[i], ids[j], np.ones(len(i), bool)))
+            out.append((np.full(len(i), sig), ids[i], ids[j], np.ones(len(i), bool), np.full(len(i), sig & 7)))
 
     def table(out: list) -> pa.RecordBatch:
-        sig, a, b, pair = (np.concatenate([x[j] for x in out]) for j in range(4))
-        return pa.RecordBatch.from_arrays([pa.array(sig, mask=pair), pa.array(a), pa.array(b, mask=~pair)], ["sig", "a", "b"])
+        sig, a, b, pair, need = (np.concatenate([x[j] for x in out]) for j in range(5))
+        return pa.RecordBatch.from_arrays([pa.array(sig, mask=pair), pa.array(a), pa.array(b, mask=~pair), pa.array(need)], ["sig", "a", "b", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, ...] | None = None
@@ -308,7 +313,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
     signed = rows.select(F.explode("sig").alias("sig"), F.col("doc_id").alias("id"))
-    found = materialize(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(), "sig long, a long, b long").distinct())
+    found = materialize(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(), "sig long, a long, b long, need long").groupBy("sig", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("sig", "a", "b"))
     pairs = screened(found.where("b is not null").select("a", "b"))
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     comp = materialize(components(links))
@@ -325,5 +330,5 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         dealt = dealt.join(sketches, "doc_id").select("sig", "i", "j", F.col("doc_id").alias("id"), "comp", F.col("n_shingles").alias("n"), "own", "band", "sketch")
         more = materialize(dealt.groupBy("sig", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct())
         comp = materialize(components(links.unionByName(verified(more))))
-    release(found, pairs)
+    release(found, pairs, prepared, links)
     return member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
