@@ -32,32 +32,41 @@ BROADCAST_ROWS = 1_000_000
 
 def _segment(length: Column, i: int) -> tuple[Column, Column]:
     """Place (from 1) and length of segment ``i`` of a line; the later segments take the remainder."""
-    base, more = F.floor(length / (TAU + 1)).cast("int"), (length % (TAU + 1)).cast("int")
-    place = F.lit(1) + base * i + F.greatest(F.lit(0), F.lit(i) - (TAU + 1 - more))
-    return place.cast("int"), (base + F.when(F.lit(i) >= TAU + 1 - more, 1).otherwise(0)).cast("int")
+    base, more = F.call_function("div", length, F.lit(TAU + 1)).cast("int"), length % (TAU + 1)
+    return F.lit(1) + base * i + F.greatest(F.lit(0), F.lit(i) - (TAU + 1 - more)), base + F.when(F.lit(i) >= TAU + 1 - more, 1).otherwise(0)
 
 
-def _signature(line: Column, length: Column, i: int, place: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substr(line, place, size))
+def _signatures(line: str, n: str, raw: str, parts: list[tuple[int, int, int]]) -> Column:
+    """Hashes of parts (length less than the line's, segment, shift) of a line of ``n`` characters and bytes ``raw``, with
+    length and segment. Where every character is a byte, bytes are cut, which takes no count of characters."""
 
+    def hashes(cut) -> Column:
+        out = []
+        for less, i, shift in parts:
+            length = F.col(n) - less
+            place, size = _segment(length, i)
+            out.append(F.xxhash64(length, F.lit(i), cut(place + shift, size)))
+        return F.array(*out)
 
-def segments(line: Column, n: Column) -> Column:
-    """Signatures of the own segments of a line of length ``n``."""
-    return F.array(*(_signature(line, n, i, *_segment(n, i)) for i in range(TAU + 1)))
+    plain = hashes(lambda place, size: F.substring(F.col(raw), place, size))
+    return F.when(F.octet_length(line) == F.col(n), plain).otherwise(hashes(lambda place, size: F.substr(F.col(line), place, size).cast("binary")))
 
 
-def probes(line: Column, length: Column) -> Column:
+def segments(line: str = "line", n: str = "n", raw: str = "raw") -> Column:
+    """Signatures of a line's own segments."""
+    return _signatures(line, n, raw, [(0, i, 0) for i in range(TAU + 1)])
+
+
+def probes(line: str = "line", n: str = "n", raw: str = "raw") -> Column:
     """Signatures to look up besides a line's own segments: for each length up to ``TAU`` less, and each segment of it,
     substrings whose shift leaves enough edits for what stands on either side."""
-    out = []
+    parts = []
     for less in range(TAU + 1):
-        n = length - less
         for i in range(TAU + 1):
-            place, size = _segment(n, i)
             for shift in range(max(-i, less - (TAU - i)), min(i, less + (TAU - i)) + 1):
                 if less or shift:
-                    out.append(_signature(line, n, i, place + shift, size))
-    return F.array(*out)
+                    parts.append((less, i, shift))
+    return _signatures(line, n, raw, parts)
 
 
 def edit_distance_within(a: Column, b: Column, tau: int = TAU) -> Column:
@@ -122,17 +131,17 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``line_no``, ``class_doc_id``, ``class_line_no`` (the kept line) and ``kept`` of each line that has
     copies or near copies."""
-    lines = materialize(lines_of(docs, id_col, text_col).where("doc_id is not null").where(F.length("line") >= MIN_CHARS).withColumn("k", F.xxhash64("line")))
+    lines = materialize(lines_of(docs, id_col, text_col).where("doc_id is not null").where(F.length("line") >= MIN_CHARS).withColumns({"k": F.xxhash64("line"), "n": F.length("line")}))
     base = lines.select("doc_id", "line_no", "k")
     classes = base.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     copied = materialize(classes.where("n > 1").select("k", "first"))
     repeats = materialize(base.join(copied, "k").where("struct(doc_id, line_no) <> first").select("doc_id", "line_no"))
     few = repeats.count() <= BROADCAST_ROWS
-    single = lines.join(F.broadcast(repeats) if few else repeats, ["doc_id", "line_no"], "left_anti").select("k", "line")
+    single = lines.join(F.broadcast(repeats) if few else repeats, ["doc_id", "line_no"], "left_anti").select("k", "line", "n")
     # arrays are columns of their own so that what their parts share is computed once a line
-    sized = single.withColumn("n", F.length("line"))
-    own = materialize(sized.withColumn("sigs", segments(F.col("line"), F.col("n"))).select("k", F.explode("sigs").alias("sig")))
-    sought = sized.withColumn("sigs", probes(F.col("line"), F.col("n"))).select("k", F.explode("sigs").alias("sig"))
+    sized = single.withColumn("raw", F.col("line").cast("binary"))
+    own = materialize(sized.withColumn("sigs", segments()).select("k", F.explode("sigs").alias("sig")))
+    sought = sized.withColumn("sigs", probes()).select("k", F.explode("sigs").alias("sig"))
     long = materialize(own.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST).select("sig"))
     crowds = long.count()
     hint = F.broadcast if crowds <= BROADCAST_ROWS else (lambda df: df)
