@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on; a longer document is a chunk by itself.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 
 # --- written tables -----------------------------------------------------------------------------
@@ -67,6 +69,13 @@ def text_arrays(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system, as workers stay for later tasks beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each; every row is in exactly one."""
     for batch in batches:
@@ -78,6 +87,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 _SPACE = np.zeros(256, bool)

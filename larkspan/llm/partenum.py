@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import as_signed, chunks, components, materialize, mix, release, shingles, text_arrays, words
+from larkspan.llm.common import as_signed, chunks, components, give_back, materialize, mix, release, shingles, text_arrays, words
 
 #: k2 and n2: differences allowed in a part, and its subparts.
 LEVEL = (1, 3)
@@ -189,14 +189,16 @@ def _pairs():
             many = np.diff(edges) > 1
             for s, e in zip(edges[:-1][many], edges[1:][many], strict=True):
                 group(cols[0][s], cols[1][s:e], out)
-            if len(out) > 2000:
-                yield table(out)
-                out = []
+                if len(out) >= 500:
+                    yield table(out)
+                    out = []
             rest = tuple(x[edges[-1] :] for x in cols)
         if rest is not None and len(rest[0]) > 1:
             group(rest[0][0], rest[1], out)
         if out:
             yield table(out)
+        del out, rest
+        give_back()
 
     return run
 
