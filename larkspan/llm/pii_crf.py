@@ -1,8 +1,9 @@
 """Personal data by patterns and a semi-Markov conditional random field.
 
 Four patterns give the base spans. Around every digit, ``@`` or written-out address mark, tokens form windows in which a
-semi-Markov model scores whole candidate segments of at most ``LONGEST`` tokens by features of the span (its shape,
-digit count, checksum, parts, cue before it); one dynamic program over ends and types picks the best segmentation, so that
+semi-Markov model scores whole candidate segments by features of the span (its shape, digit count, checksum, parts, cue
+before it). Every segment of up to ``LONGEST`` tokens is a candidate, and so is what an entity of more tokens can be
+(:func:`longer`: an unbroken key or colon-separated address, a written-out mail address, spaced digits), whatever its length. One dynamic program over ends and types picks the best segmentation, so that
 boundaries and types are chosen together. Its spans are added where they don't meet a base span.
 
 The model is fitted here, by stochastic gradient steps on the conditional likelihood (forward and backward sums over all
@@ -15,6 +16,7 @@ end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -30,7 +32,7 @@ from larkspan.llm.common import chunks
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-#: Tokens of an entity at most, and tokens on either side of a mark that a window takes in.
+#: Tokens up to which every segment is a candidate, and tokens on either side of a mark that a window takes in.
 LONGEST, AROUND = 16, 6
 _DIM = 1 << 13
 
@@ -43,6 +45,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]|\bdot\b|[\[(]at[\])]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
+#: What an entity of more tokens is made of.
+_RUN = re.compile(r"[A-Za-z0-9_\-+/=.:@%~]+")
+_HEAD = re.compile(r"(?<![\w.+-])[\w.+-]++ ?(?:\(at\)|\[at\]|at|@) ?[\w-]+")
+_PART = re.compile(r" ?(?:\(dot\)|\[dot\]|dot|\.) ?\w+")
+_SPACED = re.compile(r"[+(]?[0-9][0-9\x20().+/-]*[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -101,14 +108,14 @@ def _features(tokens: list[str], i: int, j: int) -> list[str] | None:
         return None
     digits = "".join(c for c in span if c in "0123456789")
     low = span.lower()
-    written = " dot " in low or "(dot)" in low or "[dot]" in low or "[at]" in low or "(at)" in low
+    written = " dot " in low or "(dot)" in low or "[dot]" in low or "[at]" in low or "(at)" in low or " @ " in low
     if not digits and "@" not in span and not written:
         return None
     if not written and any(c.isalpha() for c in span) and any(c.isspace() for c in span):
         return None
     shape = re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 9)}" if len(m[0]) < 10 else "D", re.sub(r"[a-zA-Z]+", "a", span))
     n = len(digits)
-    f = ["bias", f"n{min(n, 24)}", f"len{min(len(span) // 4, 16)}", f"tok{j - i}", "s:" + shape[:40]]
+    f = ["bias", f"n{min(n, 24)}", f"len{min(len(span) // 4, 16)}", f"tok{min(j - i, LONGEST + 1)}", "s:" + shape[:40]]
     if n and n == len(span):
         f.append(f"plain{min(n, 24)}")
     elif all(c in "0123456789 ().-+/" for c in span):
@@ -151,6 +158,44 @@ def _features(tokens: list[str], i: int, j: int) -> list[str] | None:
 _CUES = frozenset("email mail contact ip address host server card visa credit phone tel call fax mobile token key secret password api at from version order price date page".split())
 
 
+def longer(tokens: list[str]) -> list[tuple[int, int]]:
+    """Segments of more than ``LONGEST`` tokens that can be an entity, of any length."""
+    if len(tokens) <= LONGEST:
+        return []
+    text = "".join(tokens)
+    place = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).tolist()
+    number = {p: k for k, p in enumerate(place)}
+    out = set()
+
+    def add(start: int, end: int) -> None:
+        i, j = number.get(start), number.get(end)
+        if i is not None and j is not None and j - i > LONGEST:
+            out.add((i, j))
+
+    for m in _RUN.finditer(text):
+        # after an assignment, or from the start; up to the end, or less the marks that end a sentence
+        starts = [m.start(), *(m.start() + x.end() for x in re.finditer("[=:]+", m[0]))]
+        for end in {m.end(), m.start() + len(m[0].rstrip(".:"))}:
+            for start in starts:
+                add(start, end)
+    for m in _HEAD.finditer(text):
+        part = _PART.match(text, m.end())
+        while part:
+            add(m.start(), part.end())
+            part = _PART.match(text, part.end())
+    for m in _SPACED.finditer(text):
+        # numbers of up to 19 digits, the most that a card has
+        i, stop = number.get(m.start()), number.get(m.end())
+        if i is None or stop is None or stop - i <= LONGEST:
+            continue
+        digits = np.cumsum([0] + [len(t) if t[0] in "0123456789" else 0 for t in tokens[i:stop]])
+        for a in range(i, stop - LONGEST):
+            if tokens[a][0] in "0123456789+(":
+                last = i + int(np.searchsorted(digits, digits[a - i] + 19, "right")) - 1
+                out.update((a, j) for j in range(a + LONGEST + 1, last + 1) if tokens[j - 1][0] in "0123456789")
+    return sorted(out)
+
+
 class Model:
     """Weights of span features by kind, and of a kind after another; kind 0 is a single outside token."""
 
@@ -165,6 +210,10 @@ class Model:
                 f = _features(tokens, i, j)
                 if f is not None:
                     out.append((i, j, np.array([_bucket(x) for x in f])))
+        for i, j in longer(tokens):
+            f = _features(tokens, i, j)
+            if f is not None:
+                out.append((i, j, np.array([_bucket(x) for x in f])))
         return out
 
     def decode(self, tokens: list[str]) -> list[tuple[int, int, int]]:
@@ -200,6 +249,8 @@ class Model:
         """A gradient step on the conditional likelihood of one window; its loss before."""
         n, k = len(tokens), len(KINDS) + 1
         cand = [(i, j, f, self.w[:, f].sum(axis=1)) for i, j, f in self.candidates(tokens)]
+        if missed := gold.keys() - {c[:2] for c in cand}:
+            raise ValueError(f"no candidate for {[''.join(tokens[i:j]) for i, j in missed]}")
         starts: dict[int, list] = {}
         ends: dict[int, list] = {}
         for c in cand:
@@ -266,7 +317,7 @@ def examples(seed: int, count: int) -> Iterator[tuple[list[str], dict[tuple[int,
         cue, tail = pick("", "", word() + " "), pick("", " " + word() + ".", ", " + word())
         if kind == 0:
             at, dot = pick((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", " (dot) "), (" @ ", "."))
-            y, span = 1, word() + pick("", num(2)) + at + word() + dot + pick("com", "org", "net", "de")
+            y, span = 1, word() + pick("", num(2)) + at + word() + dot + pick("com", "org", "net", "de", "co" + dot + "uk")
             cue += pick("", "email ", "mail: ", "contact ")
         elif kind == 1:
             y, span = 1, f"{pick(word(), num(2))}{pick('', '.' + word())}@{word()}{num(1)}.{word()}.com"
@@ -302,7 +353,7 @@ def examples(seed: int, count: int) -> Iterator[tuple[list[str], dict[tuple[int,
         tokens, gold = [], {}
         for k, part in enumerate((lead + cue, span, tail)):
             own = _TOKEN.findall(part)
-            if k == 1 and y and len(own) <= LONGEST:
+            if k == 1 and y:
                 gold[(len(tokens), len(tokens) + len(own))] = y
             tokens += own
         yield tokens, gold
@@ -322,21 +373,31 @@ def fitted(count: int = 420, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
 def model_spans(text: str, model: Model) -> list[tuple[int, int, int]]:
     """(start, end, index of kind) of the model's segments."""
     marks = [m.start() for m in _MARK.finditer(text)]
+    runs = [(m.start(), m.end()) for m in _RUN.finditer(text) if m.end() - m.start() > LONGEST]
+    run_starts = [a for a, _ in runs]
+
+    def run_at(place: int) -> tuple[int, int]:
+        """The long unbroken run that a place is in, or the place alone."""
+        x = bisect.bisect_right(run_starts, place) - 1
+        return runs[x] if x >= 0 and place < runs[x][1] else (place, place + 1)
+
     out: list[tuple[int, int, int]] = []
     k = 0
     while k < len(marks):
         first = last = marks[k]
         k += 1
-        # marks close to each other share a window, which stays short enough for its dynamic program
-        while k < len(marks) and marks[k] - last <= 24 and marks[k] - first <= 400:
+        # marks close to each other share a window, which stays short enough for its dynamic program; those of one
+        # unbroken run always do
+        while k < len(marks) and (marks[k] - last <= 24 and marks[k] - first <= 400 or marks[k] < run_at(last)[1]):
             last = marks[k]
             k += 1
-        start = max(text.rfind("\n", 0, first) + 1, first - 80)
+        left, right = run_at(first)[0], run_at(last)[1]
+        start = max(text.rfind("\n", 0, first) + 1, min(first - 80, left))
         stop = text.find("\n", last)
-        stop = min(len(text) if stop < 0 else stop, last + 80)
-        while start > 0 and start < first and text[start].isalnum() and text[start - 1].isalnum():
+        stop = min(len(text) if stop < 0 else stop, max(last + 80, right))
+        while start > 0 and start < left and text[start].isalnum() and text[start - 1].isalnum():
             start += 1
-        while stop < len(text) and stop > last + 1 and text[stop - 1].isalnum() and text[stop].isalnum():
+        while stop < len(text) and stop > right and text[stop - 1].isalnum() and text[stop].isalnum():
             stop -= 1
         if out and start < out[-1][1]:
             start = min(out[-1][1], first)
@@ -344,7 +405,7 @@ def model_spans(text: str, model: Model) -> list[tuple[int, int, int]]:
         for t in _TOKEN.findall(text[start:stop]):
             spots.append((at, t))
             at += len(t)
-        near = [x for x, (p, t) in enumerate(spots) if p <= last and p + len(t) > first]
+        near = [x for x, (p, t) in enumerate(spots) if p < right and p + len(t) > left]
         if not near:
             continue
         spots = spots[max(0, near[0] - 2 * AROUND) : near[-1] + 2 * AROUND]

@@ -437,6 +437,27 @@ def test_pii_decoding_is_best():
     assert total == pytest.approx(best(0, 0))
 
 
+def test_pii_spans_of_many_tokens():
+    """Entities of more than LONGEST tokens are candidates, and are found whole."""
+    m = pii_crf.Model()
+    m.w, m.t = pii_crf.fitted()
+    for tokens, gold in pii_crf.examples(5, 300):
+        assert gold.keys() <= {(i, j) for i, j, _ in m.candidates(tokens)}
+    r = random.Random(8)
+    whole = long = 0
+    for _ in range(60):
+        key = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        long += len(pii_crf._TOKEN.findall(key)) > pii_crf.LONGEST
+        whole += (len("the token = \""), len("the token = \"") + 40, 4) in pii_crf.find(f"the token = \"{key}\" of it", m)[1]
+    assert long > 30 and whole >= 59
+    many = "9f" * 300
+    assert pii_crf.find(f"secret = '{many}'", m)[1] == [(10, 10 + len(many), 4)]
+    mail = "write to john12 [at] mail [dot] co [dot] uk today"
+    assert pii_crf.redact(mail, pii_crf.find(mail, m)[1]) == "write to [EMAIL] today"
+    spaced = pii_crf._TOKEN.findall("card " + " - ".join("4845168114407329"))
+    assert (2, len(spaced)) in {(i, j) for i, j, _ in m.candidates(spaced)}
+
+
 # --- 9 ------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("pieces", [1, 5])
 def test_fingerprints(spark, pieces):
