@@ -123,6 +123,31 @@ def test_passages(spark):
     assert compact_windows.repeated_passages(empty(spark)).count() == 0 and compact_windows.repeated_passages(docs(spark, ODD)).count() > 0
 
 
+def edited_pairs(seed, length, edits, count):
+    """Word hashes of two texts with one passage, changed in a few words of the second, and Jaccard similarity 0.8 or more."""
+    r = np.random.default_rng(seed)
+    some = lambda n: r.integers(1, 2**62, n).astype(np.uint64)
+    while count:
+        x = some(length)
+        y = x.copy()
+        y[r.choice(length, edits, replace=False)] = some(edits)
+        a, b = ({tuple(z[k : k + 5].tolist()) for k in range(length - 4)} for z in (x, y))
+        if len(a & b) >= 0.8 * len(a | b):
+            count -= 1
+            yield np.concatenate([some(50), x, some(40)]), np.concatenate([some(20), y, some(60)])
+
+
+@pytest.mark.parametrize(("length", "edits"), [(50, 1), (60, 1), (80, 1), (100, 2), (150, 3)])
+def test_edited_passages_are_verified(length, edits):
+    for x, y in edited_pairs(length, length, edits, 40):
+        found = compact_windows.shared_passages(x, y, 5, 50, 0.8)
+        assert len(found) == 1
+        a0, a1, b0, b1, j = found[0]
+        p, q = ({tuple(z[k : k + 5].tolist()) for k in range(len(z) - 4)} for z in (x[a0:a1], y[b0:b1]))
+        assert min(a1 - a0, b1 - b0) >= 50 and len(p & q) / len(p | q) == pytest.approx(j) and j >= 0.8
+        assert a0 - 50 == b0 - 20 and a0 <= 50 + length * 0.1 and a1 >= 50 + length * 0.9
+
+
 def test_large_passage_group(spark, monkeypatch):
     monkeypatch.setattr(compact_windows, "ROUNDS", 1)
     common = prose(9, 60)
