@@ -148,6 +148,15 @@ def test_edited_passages_are_verified(length, edits):
         assert a0 - 50 == b0 - 20 and a0 <= 50 + length * 0.1 and a1 >= 50 + length * 0.9
 
 
+@pytest.mark.parametrize(("length", "edits"), [(50, 1), (60, 1), (80, 1), (100, 2)])
+def test_edited_passages_are_candidates(length, edits):
+    met = 0
+    for pair in edited_pairs(7, length, edits, 200):
+        x, y = ({s for sig, _, _ in compact_windows.signature_runs(np.zeros(len(t) - 4, np.int64), shingles(np.zeros(len(t), np.int64), t, 5)[1], 46) for s in sig.tolist()} for t in pair)
+        met += bool(x & y)
+    assert met >= 0.9 * 200
+
+
 def test_large_passage_group(spark, monkeypatch):
     monkeypatch.setattr(compact_windows, "ROUNDS", 1)
     common = prose(9, 60)
