@@ -11,7 +11,8 @@ a line updates it. Lists of more than ``LIST`` lines only tell who looks them up
 texts into a join of their own.
 
 Of each class of linked lines the first in order of (document, line number) is kept. Lines of fewer than ``MIN_CHARS``
-characters are too short to tell copies from chance and take no part. Null texts have no lines; empty texts one empty
+characters are too short to tell near copies from chance; with ``short`` their exact copies are classes too, else they
+take no part. Empty lines never do. Null texts have no lines; empty texts one empty
 line. Null ids take no part either.
 """
 
@@ -128,16 +129,16 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``doc_id``, ``line_no``, ``class_doc_id``, ``class_line_no`` (the kept line) and ``kept`` of each line that has
     copies or near copies."""
-    lines = materialize(lines_of(docs, id_col, text_col).where("doc_id is not null").where(F.length("line") >= MIN_CHARS).withColumns({"k": F.xxhash64("line"), "n": F.length("line")}))
+    lines = materialize(lines_of(docs, id_col, text_col).where("doc_id is not null").where(F.length("line") >= (1 if short else MIN_CHARS)).withColumns({"k": F.xxhash64("line"), "n": F.length("line")}))
     base = lines.select("doc_id", "line_no", "k")
     classes = base.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     copied = materialize(classes.where("n > 1").select("k", "first"))
     repeats = materialize(base.join(copied, "k").where("struct(doc_id, line_no) <> first").select("doc_id", "line_no"))
     few = repeats.count() <= BROADCAST_ROWS
-    single = lines.join(F.broadcast(repeats) if few else repeats, ["doc_id", "line_no"], "left_anti").select("k", "line", "n")
+    single = lines.join(F.broadcast(repeats) if few else repeats, ["doc_id", "line_no"], "left_anti").where(F.col("n") >= MIN_CHARS).select("k", "line", "n")
     # arrays are columns of their own so that what their parts share is computed once a line
     sized = single.withColumn("raw", F.col("line").cast("binary"))
     own = materialize(sized.withColumn("sigs", segments()).select("k", F.explode("sigs").alias("sig")))

@@ -36,7 +36,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspan.llm.line_edit import duplicate_lines
 
-    return duplicate_lines(table(spark, sf_dir, "documents"))
+    return duplicate_lines(table(spark, sf_dir, "documents"), short=True)
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,6 +309,12 @@ def test_lines(spark, monkeypatch, longest):
     assert line_edit.duplicate_lines(empty(spark)).count() == 0
 
 
+def test_short_lines_have_exact_copies(spark):
+    long = "a line that is long enough to count, number "
+    got = {(x.doc_id, x.line_no): (x.class_doc_id, x.class_line_no) for x in line_edit.duplicate_lines(docs(spark, {1: "Home\nAbout us\n\n" + long + "1", 2: "About us\nHomes\n", 3: "目次\n" + long + "2", 4: "目次"}), short=True).collect()}
+    assert got == {(1, 1): (1, 1), (2, 0): (1, 1), (3, 0): (3, 0), (4, 0): (3, 0), (1, 3): (1, 3), (3, 1): (1, 3)}
+
+
 def test_lines_plan_is_native(spark):
     plan = line_edit.duplicate_lines(docs(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
