@@ -95,15 +95,43 @@ def test_language_held_out_accuracy(spark):
 
 
 # --- 2 ------------------------------------------------------------------------------------------
-def test_compact_windows_are_the_runs():
-    r = np.random.default_rng(3)
-    x = r.permutation(60).astype(np.uint64)
-    width = 7
-    centre = {}
-    for left, c, right in compact_windows.compact_windows(x, width):
-        for s in range(max(left, c - width + 1), min(c, right - width + 1) + 1):
-            centre[s] = c
-    assert [int(x[centre[s]]) for s in range(len(x) - width + 1)] == compact_windows.sliding_least(x, width).tolist() == [int(x[s : s + width].min()) for s in range(len(x) - width + 1)]
+def brute_windows(x, width):
+    """Spans by looking outwards from each token."""
+    out = set()
+    for c, v in enumerate(x):
+        left = right = c
+        while left and x[left - 1] >= v:
+            left -= 1
+        while right + 1 < len(x) and x[right + 1] >= v:
+            right += 1
+        if right - left + 1 >= width:
+            out.add((left, c, right))
+    return out
+
+
+@pytest.mark.parametrize("most", [5, 40, 10**9])
+def test_compact_windows(most):
+    r = np.random.default_rng(most)
+    rows = [r.integers(0, most, n).astype(np.uint64) * np.uint64(2) + np.uint64(1) for n in (60, 3, 7, 0, 200, 6, 90)]
+    x, of, width = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(t) for t in rows]), 7
+    base = np.cumsum([0] + [len(t) for t in rows])
+    expect = {(left + base[i], c + base[i], right + base[i]) for i, t in enumerate(rows) for left, c, right in brute_windows(t.tolist(), width)}
+    assert {tuple(w) for w in zip(*(a.tolist() for a in compact_windows.compact_windows(x, of, width)), strict=True)} == expect
+    least = {s + base[i]: int(t[s : s + width].min()) for i, t in enumerate(rows) for s in range(len(t) - width + 1)}
+    start, end, value = compact_windows.intervals(x, of, width)
+    assert {s: int(v) for a, z, v in zip(start, end, value, strict=True) for s in range(a, z)} == least
+    assert (end[:-1] <= start[1:]).all()
+
+
+def test_signatures_are_those_of_each_start():
+    r = np.random.default_rng(0)
+    token, of = r.integers(0, 300, 500).astype(np.uint64), np.repeat([0, 1, 2], [200, 30, 270])
+    for band, (sig, start, size) in enumerate(compact_windows.signature_runs(of, token, 46)):
+        at = {s: int(g) for g, a, n in zip(sig, start, size, strict=True) for s in range(a, a + n)}
+        hashed = [compact_windows.mix(token ^ compact_windows.mix(np.full(1, 1 + 3 * band + h, np.uint64))) for h in range(3)]
+        tuples = {s: tuple(int(h[s : s + 46].min()) for h in hashed) for s in range(455) if of[s] == of[s + 45]}
+        assert at.keys() == tuples.keys() and len(set(zip(at.values(), tuples.values(), strict=False))) >= len(set(tuples.values()))
+        assert len({(at[s], tuples[s]) for s in at}) == len(set(tuples.values())) == len(set(at.values()))
 
 
 def test_passages(spark):
@@ -157,12 +185,48 @@ def test_edited_passages_are_candidates(length, edits):
     assert met >= 0.9 * 200
 
 
+def test_edited_passages_are_found(spark):
+    """Texts of their own words around passages of Jaccard similarity 0.8 or more: share found, and share of words covered."""
+    texts, plan = {}, {}
+    for length, edits in ((52, 1), (60, 1), (80, 1), (100, 2), (200, 4), (400, 8)):
+        for x, y in edited_pairs(length, length, edits, 40):
+            k = len(texts)
+            texts[k], texts[k + 1] = (" ".join(f"{h:x}" for h in t.tolist()) for t in (x, y))
+            plan[k] = length
+    rows = compact_windows.repeated_passages(docs(spark, texts)).collect()
+    assert all(r.other_id == r.doc_id - 1 and r.other_id in plan for r in rows)
+    for length in set(plan.values()):
+        own = [k for k, n in plan.items() if n == length]
+        words_ = defaultdict(set)
+        for r in rows:
+            words_[r.other_id] |= set(range(max(50, r.other_start), min(50 + length, r.other_end)))
+        assert sum(bool(words_[k]) for k in own) >= 0.9 * len(own)
+        assert sum(len(words_[k]) for k in own) >= 0.9 * length * sum(bool(words_[k]) for k in own)
+
+
 def test_large_passage_group(spark, monkeypatch):
-    monkeypatch.setattr(compact_windows, "ROUNDS", 1)
     common = prose(9, 60)
     texts = {i: prose(200 + i, 30) + " " + common + " " + prose(300 + i, 30) for i in range(40)}
+    for together in (500_000, 0):
+        monkeypatch.setattr(compact_windows, "TOGETHER", together)
+        rows = compact_windows.repeated_passages(docs(spark, texts)).collect()
+        assert {r.class_id for r in rows} == {0} and {r.doc_id for r in rows} == set(range(1, 40))
+
+
+def test_classes_under_a_short_common_line_are_compared(spark):
+    """40 common words are no passage; what two documents have beside them, and no leader has, still links them."""
+    common = prose(8, 40)
+    texts = {i: prose(400 + i, 20) + " " + common + " " + prose(500 + i, 20) for i in range(12)}
+    texts[11] = prose(900, 20) + " " + common + " " + prose(510, 20)
     rows = compact_windows.repeated_passages(docs(spark, texts)).collect()
-    assert {r.class_id for r in rows} == {0} and {r.doc_id for r in rows} == set(range(1, 40))
+    assert {(r.doc_id, r.other_id) for r in rows} == {(11, 10)}
+
+
+def test_passages_of_rows_with_one_id(spark):
+    shared = prose(60, 80)
+    rows = [(1, prose(61, 30) + " " + shared), (2, prose(62, 90)), (2, shared + " " + prose(63, 40)), (2, prose(62, 90)), (2, prose(64, 70)), (3, prose(64, 70))]
+    found = compact_windows.repeated_passages(spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id, r.class_id) for r in found} == {(2, 1, 1), (3, 2, 1)}
 
 
 # --- 3 ------------------------------------------------------------------------------------------
