@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from larkspan import runtime
 from larkspan.llm import bradley_terry, line_edit, packing, partenum, pii_crf
-from larkspan.llm.common import materialize
+from larkspan.llm.common import free_name, materialize, release, written
 from larkspan.llm.queries import tokenizer_path
 
 
+#: Share of its characters that a document keeps at least when lines go that stand elsewhere; 1 less the similarity of near
+#: copies.
+LEAST_LEFT = 0.2
+
+
 def _recounted(docs: DataFrame) -> DataFrame:
     """``n_chars`` set to the length of the text, where there is such a column."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -28,23 +33,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.columns
     if ranker is None:
         return docs
-    scored = bradley_terry.scored(docs, ranker, keep=kept, score="__score")
-    return scored.where(F.col("__score") >= ranker.cut).select(*kept)
+    score = free_name(docs, "score")
+    scored = bradley_terry.scored(docs, ranker, keep=kept, score=score)
+    return scored.where(F.col(score) >= ranker.cut).select(*kept)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies and near copies of lines go; so do documents of which nothing but blanks is left."""
+    """Later copies and near copies of lines go, and documents that are near copies by them, of which little is left. Lines
+    of fewer than 24 characters stay: list marks, brackets and refrains belong to their documents."""
     runtime.ship(spark)
-    return _recounted(line_edit.without_duplicate_lines(docs))
+    return _recounted(line_edit.without_duplicate_lines(docs, least_left=LEAST_LEFT))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 0.8 or more of their distinct five-word shingles, the least id stays."""
     runtime.ship(spark)
     found = partenum.similar_components(docs, k=5, percent=80)
-    gone = materialize(found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    mark = free_name(docs, "gone")
+    gone = materialize(found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct())
     few = gone.count() <= partenum.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(mark), "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +75,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with written() as tables:
+            kept = materialize(stage(spark, docs, sf_dir))
+        # what a stage has written goes with its input
+        release(*(t for t in (*tables, docs) if t is not kept))
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

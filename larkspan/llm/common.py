@@ -32,6 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def written() -> Iterator[list[DataFrame]]:
+    """The tables that :func:`materialize` writes meanwhile, to be released when nothing reads them any more."""
+    tables: list[DataFrame] = []
+    _scopes.append(tables)
+    try:
+        yield tables
+    finally:
+        _scopes.remove(tables)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: its lineage ends there, on storage that
     outlives executors."""
@@ -40,6 +54,8 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._larkspan_path = path
+    for tables in _scopes:
+        tables.append(back)
     return back
 
 
@@ -53,6 +69,15 @@ def release(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 # --- text as arrays -----------------------------------------------------------------------------
 def text_arrays(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, and the offset of each row (one more than rows); null counts as empty."""

@@ -1,19 +1,21 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations alone.
 
-Lines within edit distance ``TAU`` of each other are linked. Equal lines collapse to their first occurrence. The others
+Lines within edit distance ``TAU`` of each other are linked. Equal lines, told by two hashes, collapse to their first
+occurrence. The others
 are cut into ``TAU + 1`` segments of nearly equal length; of two linked lines, some segment of the shorter stands
 unchanged in the longer, at a place that differs by few characters. So each line lists its own segments, with their
 number and its length, and looks up the substrings of itself that could be such segments in lists of its length and of
-up to ``TAU`` less (:func:`probes` has the places that suffice). Pairs that meet are screened by the built-in bounded
-distance, so that no join puts out more than links, relieved of common ends, and verified by a banded bit-parallel edit
-distance (:func:`edit_distance_within`): one word holds the band of a column, and a fold over the characters of
-a line updates it. Lists of more than ``LIST`` lines only tell who looks them up; lines of both sides carry their
-texts into a join of their own.
+up to ``TAU`` less (:func:`probes` has the places that suffice). Pairs that meet are screened by the letters that they
+count (:func:`counts`: an edit changes two counts by one at most), relieved of common ends, and verified by a banded
+bit-parallel edit distance (:func:`edit_distance_within`): one word holds the band of a column, and a fold over the
+characters of a line updates it. Lists of more than ``LIST`` lines only tell who looks them up; lines of both sides carry
+their texts into a join of their own.
 
-Of each class of linked lines the first in order of (document, line number) is kept. Lines of fewer than ``MIN_CHARS``
+Of each class of linked lines the first in order of (document, line number, row) is kept. Lines of fewer than ``MIN_CHARS``
 characters are too short to tell near copies from chance; with ``short`` their exact copies are classes too, else they
 take no part. Empty lines never do. Null texts have no lines; empty texts one empty
-line. Null ids take no part either.
+line. Null ids take no part either. Every row's lines are its own, whether or not other rows have its id or its text; the
+order of such rows is that in which they are read. Long texts and lines are worked on whole.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import components, materialize, release
+from larkspan.llm.common import components, free_name, materialize, release
 
 TAU = 2
 MIN_CHARS = 24
@@ -29,6 +31,8 @@ MIN_CHARS = 24
 LIST = 16
 #: Rows up to which a counted set is broadcast (16 MB).
 BROADCAST_ROWS = 1_000_000
+#: Sets of characters whose counts are compared before distances are computed.
+_SETS = ("eE", "tT", "aA", "oOnN", "iIsS", "rRhH", "lLdD", "uUcC", "0123456789", " .,")
 
 
 def _segment(length: Column, i: int) -> tuple[Column, Column]:
@@ -70,6 +74,19 @@ def probes(line: str = "line", n: str = "n", raw: str = "raw") -> Column:
     return _signatures(line, n, raw, parts)
 
 
+def counts(line: str = "line", n: str = "n") -> Column:
+    """How many characters of each of some sets a line has."""
+    return F.array(*(F.col(n) - F.length(F.translate(F.col(line), chars, "")) for chars in _SETS))
+
+
+def countable(x: Column, y: Column) -> Column:
+    """Whether counts of two lines leave room for ``TAU`` edits between them, of which each changes two by one at most."""
+    apart = F.lit(0)
+    for i in range(len(_SETS)):
+        apart = apart + F.abs(F.get(x, F.lit(i)) - F.get(y, F.lit(i)))
+    return apart <= 2 * TAU
+
+
 def edit_distance_within(a: Column, b: Column, tau: int = TAU) -> Column:
     """Whether the edit distance of two arrays of characters is ``tau`` at most, by banded bit-parallel dynamic programming.
     The arrays must be columns as stored: what is computed here would be computed again for each character.
@@ -124,69 +141,88 @@ def without_common_ends(pairs: DataFrame, x: str = "x", y: str = "y", steps: int
     return pairs.drop("__n")
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``line_no`` (from 0) and ``line`` of each line."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """``doc_id``, ``line_no`` (from 0) and ``line`` of each line, and ``row``, the row's number, where a column has it."""
+    keep = [F.col(row).alias("row")] if row else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is of a size for it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False, row: str | None = None) -> DataFrame:
     """``doc_id``, ``line_no``, ``class_doc_id``, ``class_line_no`` (the kept line) and ``kept`` of each line that has
-    copies or near copies."""
-    lines = materialize(lines_of(docs, id_col, text_col).where("doc_id is not null").where(F.length("line") >= (1 if short else MIN_CHARS)).withColumns({"k": F.xxhash64("line"), "n": F.length("line")}))
-    base = lines.select("doc_id", "line_no", "k")
-    classes = base.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    copied = materialize(classes.where("n > 1").select("k", "first"))
-    repeats = materialize(base.join(copied, "k").where("struct(doc_id, line_no) <> first").select("doc_id", "line_no"))
-    few = repeats.count() <= BROADCAST_ROWS
-    single = lines.join(F.broadcast(repeats) if few else repeats, ["doc_id", "line_no"], "left_anti").where(F.col("n") >= MIN_CHARS).select("k", "line", "n")
+    copies or near copies; ``row`` too where a column has it."""
+    lines = lines_of(docs, id_col, text_col, row).where("doc_id is not null").where(F.length("line") >= (1 if short else MIN_CHARS))
+    lines = materialize(lines.withColumns({"uid": F.monotonically_increasing_id(), "k": F.xxhash64("line"), "k2": F.xxhash64(F.lit("2"), "line"), "n": F.length("line")}))
+    own_row = ["row"] if row else []
+    place = F.struct("doc_id", "line_no", "uid")
+    # a class of equal lines is known by the number of its first
+    classes = lines.groupBy("k", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    copied = materialize(classes.where("n > 1").select("k", "k2", "first", F.col("first.uid").alias("rep")))
+    copied_small = _small(copied)
+    repeats = materialize(lines.select("uid", "k", "k2").join(copied_small, ["k", "k2"]).where("uid <> rep").select("uid", "rep"))
+    repeats_small = _small(repeats)
+    single = lines.where(F.col("n") >= MIN_CHARS).join(repeats_small, "uid", "left_anti").select("uid", "line", "n")
     # arrays are columns of their own so that what their parts share is computed once a line
     sized = single.withColumn("raw", F.col("line").cast("binary"))
-    own = materialize(sized.withColumn("sigs", segments()).select("k", F.explode("sigs").alias("sig")))
-    sought = sized.withColumn("sigs", probes()).select("k", F.explode("sigs").alias("sig"))
+    own = materialize(sized.withColumn("sigs", segments()).select("uid", F.explode("sigs").alias("sig")))
+    sought = sized.withColumn("sigs", probes()).select("uid", F.explode("sigs").alias("sig"))
     long = materialize(own.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST).select("sig"))
     crowds = long.count()
     hint = F.broadcast if crowds <= BROADCAST_ROWS else (lambda df: df)
     # a long list is one row without a line, which only tells who looks it up
-    lists = own.join(hint(long), "sig", "left_anti").unionByName(long.withColumn("k", F.lit(None).cast("long"))) if crowds else own
-    met = lists.alias("o").join(sought.unionByName(own).alias("s"), "sig").where("o.k is null or o.k <> s.k")
-    met = materialize(met.select(F.when(F.col("o.k").isNull(), F.col("sig")).alias("sig"), F.least("o.k", "s.k").alias("a"), F.when(F.col("o.k").isNotNull(), F.greatest("o.k", "s.k")).alias("b")).distinct())
+    lists = own.join(hint(long), "sig", "left_anti").unionByName(long.withColumn("uid", F.lit(None).cast("long"))) if crowds else own
+    met = lists.alias("o").join(sought.unionByName(own).alias("s"), "sig").where("o.uid is null or o.uid <> s.uid")
+    met = materialize(met.select(F.when(F.col("o.uid").isNull(), F.col("sig")).alias("sig"), F.least("o.uid", "s.uid").alias("a"), F.when(F.col("o.uid").isNotNull(), F.greatest("o.uid", "s.uid")).alias("b")).distinct())
     pairs = met.where("sig is null").select("a", "b")
-    seekers = met.where("sig is not null").select("sig", F.col("a").alias("k"))
+    seekers = met.where("sig is not null").select("sig", F.col("a").alias("uid"))
     members = own.join(hint(long), "sig", "left_semi")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).unionByName(seekers.select("k"))
-    wanted = materialize((wanted.unionByName(members.select("k")) if crowds else wanted).distinct())
-    hint2 = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
-    texts = materialize(single.join(hint2(wanted), "k", "left_semi").dropDuplicates(["k"]).select("k", "line"))
-    near = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("line").alias("y")), "b")
-    near = near.where(F.levenshtein("x", "y", TAU) >= 0)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).unionByName(seekers.select("uid"))
+    wanted = materialize((wanted.unionByName(members.select("uid")) if crowds else wanted).distinct())
+    texts = materialize(single.join(_small(wanted), "uid", "left_semi").withColumn("c", counts()).select("uid", "line", "c"))
+    near = pairs.join(texts.select(F.col("uid").alias("a"), F.col("line").alias("x"), F.col("c").alias("cx")), "a").join(texts.select(F.col("uid").alias("b"), F.col("line").alias("y"), F.col("c").alias("cy")), "b")
+    near = near.where(countable(F.col("cx"), F.col("cy"))).select("a", "b", "x", "y")
     if crowds:
-        here, there = members.join(texts, "k"), seekers.join(texts, "k")
-        meet = (F.col("o.sig") == F.col("s.sig")) & (F.col("o.k") != F.col("s.k")) & (F.levenshtein("o.line", "s.line", TAU) >= 0)
-        less = F.col("o.k") < F.col("s.k")
-        crowded = here.alias("o").join(there.alias("s"), meet).select(F.least("o.k", "s.k").alias("a"), F.greatest("o.k", "s.k").alias("b"), F.when(less, F.col("o.line")).otherwise(F.col("s.line")).alias("x"), F.when(less, F.col("s.line")).otherwise(F.col("o.line")).alias("y"))
+        here, there = members.join(texts, "uid"), seekers.join(texts, "uid")
+        meet = (F.col("o.sig") == F.col("s.sig")) & (F.col("o.uid") != F.col("s.uid")) & countable(F.col("o.c"), F.col("s.c"))
+        less = F.col("o.uid") < F.col("s.uid")
+        crowded = here.alias("o").join(there.alias("s"), meet).select(F.least("o.uid", "s.uid").alias("a"), F.greatest("o.uid", "s.uid").alias("b"), F.when(less, F.col("o.line")).otherwise(F.col("s.line")).alias("x"), F.when(less, F.col("s.line")).otherwise(F.col("o.line")).alias("y"))
         near = near.unionByName(crowded.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y")))
     cut = materialize(without_common_ends(near).select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y")))
     links = materialize(cut.where(edit_distance_within(F.col("x"), F.col("y"))).select("a", "b").distinct())
-    release(cut, own)
-    comp = materialize(components(links).select(F.col("node").alias("k"), "component"))
-    part = base.join(copied.select("k"), "k", "left_semi").unionByName(base.join(comp.select("k"), "k", "left_semi")).distinct()
-    part = part.join(comp, "k", "left").select("doc_id", "line_no", F.coalesce("component", "k").alias("class"))
-    part = materialize(part)
-    first = part.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    out = part.join(first, "class").select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"))
-    release(wanted, texts, lines, copied, repeats, long, met, links, comp)
-    return out.withColumn("kept", (F.col("doc_id") == F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
-
-
-def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every line that is not the first of its class left out of the text. Documents of which only blank
-    lines are left go; all other rows, with no such line, stay as they are."""
-    drop = duplicate_lines(docs, id_col, text_col).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__drop"))
-    drop = materialize(drop.withColumnRenamed("doc_id", "__id"))
-    n = drop.agg(F.count(F.lit(1)), F.sum(F.size("__drop"))).first()
+    release(cut, own, long, met, wanted, texts)
+    comp = materialize(components(links).select(F.col("node").alias("rep"), "component"))
+    # first of each class, from one row for each distinct line in it
+    ends = lines.join(_small(comp), F.col("uid") == F.col("rep")).select("rep", "component", place.alias("first"))
+    ends = ends.unionByName(copied.join(comp.select("rep"), "rep", "left_anti").select("rep", F.col("rep").alias("component"), "first"))
+    firsts = ends.groupBy("component").agg(F.min("first").alias("first"))
+    kept = _small(materialize(ends.select("rep", "component").join(firsts, "component").select("rep", "first")))
+    # repeats by the number of their first line, first lines by their own
+    part = lines.select("uid", "doc_id", *own_row, "line_no").join(repeats_small, "uid", "left").withColumn("rep", F.coalesce("rep", "uid"))
+    out = materialize(part.join(kept, "rep").select("doc_id", *own_row, "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), (F.col("first.uid") == F.col("uid")).alias("kept")))
+    release(lines, copied, repeats, links, comp, kept)
+    return out
+
+
+def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_left: float = 0.0) -> DataFrame:
+    """``docs`` with every line that is not the first of its class left out of the text.
+
+    A document of which only blank lines are left goes; so does one that keeps less than the share ``least_left`` of its
+    characters, and so is a near copy of others, unless a line of it is the one kept for others. All other rows, with no such line, stay as they
+    are.
+    """
+    row, found, cut, holds = (free_name(docs, c) for c in ("row", "found", "cut", "holds"))
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    gone = duplicate_lines(numbered, id_col, text_col, row=row).groupBy(F.col("row").alias(found)).agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias(cut), F.max("kept").alias(holds))
+    gone = materialize(gone.where(F.size(cut) > 0))
+    n = gone.agg(F.count(F.lit(1)), F.sum(F.size(cut))).first()
     few = n[0] <= BROADCAST_ROWS and (n[1] or 0) <= 4 * BROADCAST_ROWS  # 16 MB of line numbers
-    marked = docs.join(F.broadcast(drop) if few else drop, F.col(id_col) == F.col("__id"), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(left)
-    rows = marked.withColumn(text_col, text).where(F.col("__drop").isNull() | (F.length(F.trim(F.col(text_col))) > 0))
-    return rows.select(*docs.columns)
+    marked = numbered.join(F.broadcast(gone) if few else gone, F.col(row) == F.col(found), "left")
+    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(cut), i)), "\n")
+    marked = marked.withColumn(found, F.when(F.col(found).isNotNull(), left))
+    enough = (F.length(F.trim(found)) > 0) & (F.col(holds) | (F.length(found) >= least_left * F.length(text_col)))
+    rows = marked.where(F.col(found).isNull() | enough)
+    return rows.select(*(F.coalesce(found, text_col).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -213,13 +213,14 @@ def test_large_passage_group(spark, monkeypatch):
         assert {r.class_id for r in rows} == {0} and {r.doc_id for r in rows} == set(range(1, 40))
 
 
-def test_classes_under_a_short_common_line_are_compared(spark):
+def test_classes_under_a_short_common_line_are_compared(spark, monkeypatch):
     """40 common words are no passage; what two documents have beside them, and no leader has, still links them."""
+    monkeypatch.setattr(compact_windows, "ROUNDS", 3)
     common = prose(8, 40)
-    texts = {i: prose(400 + i, 20) + " " + common + " " + prose(500 + i, 20) for i in range(12)}
-    texts[11] = prose(900, 20) + " " + common + " " + prose(510, 20)
+    texts = {i: prose(400 + i, 20) + " " + common + " " + prose(500 + i, 20) for i in range(4)}
+    texts[3] = prose(900, 20) + " " + common + " " + prose(502, 20)
     rows = compact_windows.repeated_passages(docs(spark, texts)).collect()
-    assert {(r.doc_id, r.other_id) for r in rows} == {(11, 10)}
+    assert {(r.doc_id, r.other_id) for r in rows} == {(3, 2)}
 
 
 def test_passages_of_rows_with_one_id(spark):
@@ -379,6 +380,33 @@ def test_short_lines_have_exact_copies(spark):
     assert got == {(1, 1): (1, 1), (2, 0): (1, 1), (3, 0): (3, 0), (4, 0): (3, 0), (1, 3): (1, 3), (3, 1): (1, 3)}
 
 
+def test_lines_of_rows_with_one_id(spark):
+    line = "a line that is long enough to count, number one"
+    own = "a wholly different precious line that nobody repeats"
+    d = spark.createDataFrame([(1, line + "\nsomething else that only the first document has"), (2, line), (2, own), (2, own + "\n" + line), (3, own)], "doc_id long, text string")
+    left = sorted((x.doc_id, x.text) for x in line_edit.without_duplicate_lines(d.coalesce(1)).collect())
+    assert left == [(1, line + "\nsomething else that only the first document has"), (2, own)]
+
+
+def test_documents_left_as_fragments_go(spark):
+    many = [prose(700 + i, 8) for i in range(12)]
+    changed = [*many[:11], prose(720, 8)]
+    holder = [*many[:11], prose(721, 8)]
+    texts = {1: "\n".join(many), 2: "\n".join(changed), 3: "\n".join(holder), 4: holder[-1] + "\n" + prose(722, 30), 5: many[0] + "\n" + prose(723, 8)}
+    left = {x.doc_id: x.text for x in line_edit.without_duplicate_lines(docs(spark, texts), least_left=0.2).collect()}
+    assert left == {1: texts[1], 3: holder[-1], 4: prose(722, 30), 5: prose(723, 8)}
+
+
+def test_distance_decides_links(spark, monkeypatch):
+    """Pairs that only the bit-parallel distance can refuse: the same letters in another order."""
+    base = "abcdefgh ijklmnop qrstuvwx yz and more of the same"
+    swapped = base.replace("abcdefgh", "hgfedcba")
+    d = docs(spark, {1: base, 2: swapped, 3: base.replace("yz", "zy")})
+    assert {x.doc_id for x in line_edit.duplicate_lines(d).collect()} == {1, 3}
+    monkeypatch.setattr(line_edit, "edit_distance_within", lambda a, b, tau=2: F.lit(True))
+    assert {x.doc_id for x in line_edit.duplicate_lines(d).collect()} == {1, 2, 3}
+
+
 def test_lines_plan_is_native(spark):
     plan = line_edit.duplicate_lines(docs(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
