@@ -6,8 +6,8 @@ are cut into ``TAU + 1`` segments of nearly equal length; of two linked lines, s
 unchanged in the longer, at a place that differs by few characters. So each line lists its own segments, with their
 number and its length, and looks up the substrings of itself that could be such segments in lists of its length and of
 up to ``TAU`` less (:func:`probes` has the places that suffice). Pairs that meet are screened by the letters that they
-count (:func:`counts`: an edit changes two counts by one at most), relieved of common ends, and verified by a banded
-bit-parallel edit distance (:func:`edit_distance_within`): one word holds the band of a column, and a fold over the
+count (:func:`counts`: an edit changes two counts by one at most) and by twice the distance (:func:`nearby`), relieved of
+common ends, and verified by a banded bit-parallel edit distance (:func:`edit_distance_within`): one word holds the band of a column, and a fold over the
 characters of a line updates it. Lists of more than ``LIST`` lines only tell who looks them up; lines of both sides carry
 their texts into a join of their own.
 
@@ -87,6 +87,11 @@ def countable(x: Column, y: Column) -> Column:
     return apart <= 2 * TAU
 
 
+def nearby(x: Column, y: Column) -> Column:
+    """Whether two lines are within twice the edits of a link: keeps the pairs of a crowded list from leaving its join."""
+    return F.levenshtein(x, y, 2 * TAU) >= 0
+
+
 def edit_distance_within(a: Column, b: Column, tau: int = TAU) -> Column:
     """Whether the edit distance of two arrays of characters is ``tau`` at most, by banded bit-parallel dynamic programming.
     The arrays must be columns as stored: what is computed here would be computed again for each character.
@@ -184,10 +189,10 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = materialize((wanted.unionByName(members.select("uid")) if crowds else wanted).distinct())
     texts = materialize(single.join(_small(wanted), "uid", "left_semi").withColumn("c", counts()).select("uid", "line", "c"))
     near = pairs.join(texts.select(F.col("uid").alias("a"), F.col("line").alias("x"), F.col("c").alias("cx")), "a").join(texts.select(F.col("uid").alias("b"), F.col("line").alias("y"), F.col("c").alias("cy")), "b")
-    near = near.where(countable(F.col("cx"), F.col("cy"))).select("a", "b", "x", "y")
+    near = near.where(countable(F.col("cx"), F.col("cy")) & nearby(F.col("x"), F.col("y"))).select("a", "b", "x", "y")
     if crowds:
         here, there = members.join(texts, "uid"), seekers.join(texts, "uid")
-        meet = (F.col("o.sig") == F.col("s.sig")) & (F.col("o.uid") != F.col("s.uid")) & countable(F.col("o.c"), F.col("s.c"))
+        meet = (F.col("o.sig") == F.col("s.sig")) & (F.col("o.uid") != F.col("s.uid")) & countable(F.col("o.c"), F.col("s.c")) & nearby(F.col("o.line"), F.col("s.line"))
         less = F.col("o.uid") < F.col("s.uid")
         crowded = here.alias("o").join(there.alias("s"), meet).select(F.least("o.uid", "s.uid").alias("a"), F.greatest("o.uid", "s.uid").alias("b"), F.when(less, F.col("o.line")).otherwise(F.col("s.line")).alias("x"), F.when(less, F.col("s.line")).otherwise(F.col("o.line")).alias("y"))
         near = near.unionByName(crowded.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y")))
