@@ -9,12 +9,11 @@ exchange does the same with what is left open everywhere, as long as the total e
 
 Only ids, lengths and checksums move; a partition's pieces are bounded by ``PER_PART`` in expectation, and the histogram
 on the driver has one number per length. Null text is empty: its document is the end mark alone. Rows with equal or null
-ids are documents of their own.
+ids are documents of their own, dealt by a number of their own. Of pieces of one length the lesser id comes first.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 import zlib
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import chunks, materialize
+from larkspan.llm.common import chunks, materialize, release
 from larkspan.llm.pair_bpe import byte_letters
 
 CAPACITY = 1024
@@ -135,16 +134,19 @@ def best_fit_decreasing(length: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset, np.array(room, np.int64)
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part string, bin long, offset long, room long, gap long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, item long, bin long, offset long, room long, gap long"
 
 
 def _pack(capacity: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], kind="stable")
+        group = group.sort_values(["length", "doc_id", "piece", "start", "ids_crc32", "item"], kind="stable")
         length = group["length"].to_numpy()
         where, offset, room = best_fit_decreasing(length, capacity)
         bound = lower_bound(np.bincount(length, minlength=capacity + 1))
-        return group.assign(part=str(key[0]), bin=where, offset=offset, room=room[where], gap=len(room) - bound)
+        # a bin is known by its first item
+        first, item = np.zeros(len(room), np.int64), group["item"].to_numpy()
+        first[where[offset == 0]] = item[offset == 0]
+        return group.assign(bin=first[where], offset=offset, room=room[where], gap=len(room) - bound)
 
     return run
 
@@ -152,7 +154,8 @@ def _pack(capacity: int):
 def pack(items: DataFrame, capacity: int = CAPACITY, per_part: int = PER_PART) -> DataFrame:
     """The rows of :func:`pieces` with ``sequence_id`` and ``offset``."""
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    items = materialize(items.select(*cols))
+    # a number for each piece, so that neither equal rows nor null ids gather in one partition
+    items = materialize(items.select(*cols).withColumn("item", F.monotonically_increasing_id()))
     full = items.where(F.col("length") == capacity)
     rest = items.where(F.col("length") < capacity)
     histogram = np.zeros(capacity + 1, np.int64)
@@ -162,46 +165,37 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_part: int = PER_PART) -
 
     def dealt(rows: DataFrame, count: int, salt: int) -> DataFrame:
         parts = max(1, round(count / per_part))
-        key = F.concat(F.lit(f"{salt}-"), F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(salt)), F.lit(parts)).cast("string"))
-        return rows.withColumn("part", key).groupBy("part").applyInPandas(_pack(capacity), _PACKED)
+        key = F.pmod(F.xxhash64("item", F.lit(salt)), F.lit(parts))
+        return materialize(rows.groupBy(key.alias("part")).applyInPandas(_pack(capacity), _PACKED))
 
-    done = []
-    now = materialize(dealt(rest, n, 0)) if n else None
+    bins = lambda rows: rows.where("offset = 0").count()
+    moved = [*cols, "item"]
+    # tables of packed rows, of which a filter names those that are still valid
+    held: list[DataFrame] = [dealt(rest.select(*moved), n, 0)] if n else []
     for salt in range(1, EXCHANGES + 1):
-        if now is None:
+        if not held or sum(bins(d) for d in held) <= least:
             break
         last = salt == EXCHANGES
-        used = now.where("offset = 0").count() + sum(d.where("offset = 0").count() for d in done)
-        if used <= least:
-            break
         open_ = (F.col("room") > 0) & (F.lit(True) if last else F.col("gap") > 0)
-        again = now.where(open_).select(*cols)
+        # at last also what certified partitions have left open
+        sources = held if last else held[-1:]
+        again = sources[0].where(open_).select(*moved)
+        for d in sources[1:]:
+            again = again.unionByName(d.where(open_).select(*moved))
         count = again.count()
         if not count:
             continue
-        before = now.where(open_ & (F.col("offset") == 0)).count()
-        tried = materialize(dealt(again, count, salt))
-        if tried.where("offset = 0").count() < before:
-            done.append(now.where(~open_))
-            now = tried
-    packed = [d.select(*cols, "part", "bin", "offset") for d in (*done, *([now] if now is not None else []))]
-    out = full.select(*cols, F.lit("full").alias("part"), F.xxhash64("doc_id", "piece", "ids_crc32").alias("bin"), F.lit(0).cast("long").alias("offset"))
-    if not packed:
-        numbered = out.withColumn("sequence_id", F.monotonically_increasing_id())
-        return numbered.select(*cols, "sequence_id", "offset")
-    # full pieces have odd numbers of their own, bins even ones from their partition's number and theirs
-    whole = full.withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
-    for i, d in enumerate(packed):
-        number = (F.split("part", "-")[1].cast("long") * (4 * per_part * EXCHANGES) + F.col("bin")) * (2 * (EXCHANGES + 1)) + 2 * i
-        whole = whole.unionByName(d.withColumn("sequence_id", number).select(*cols, "offset", "sequence_id"))
+        tried = dealt(again, count, salt)
+        if bins(tried) < sum(bins(d.where(open_)) for d in sources):
+            held = [*held[: len(held) - len(sources)], *(d.where(~open_) for d in sources), tried]
+        else:
+            release(tried)
+    # full pieces have odd numbers, bins even ones, from the number of their first item
+    whole = full.select(*cols, F.lit(0).cast("long").alias("offset"), (F.col("item") * 2 + 1).alias("sequence_id"))
+    for d in held:
+        whole = whole.unionByName(d.select(*cols, "offset", (F.col("bin") * 2).alias("sequence_id")))
     return whole.select(*cols, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, per_part: int = PER_PART) -> DataFrame:
     return pack(pieces(docs, vocabulary, capacity, end), capacity, per_part)
-
-
-def from_ranks_file(path: str) -> dict[bytes, int]:
-    """Ranks of a ``.tiktoken`` file."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}

@@ -11,7 +11,9 @@ a pair that shares several choices is counted where the choice is that of its le
 written out, whatever the size of a group.
 
 Vectors that are null, zero, empty, or hold null or non-finite components link with nothing; nor do vectors of different
-lengths. Recall is that of the candidates: links are exact, some may be missing. A null id has a null component.
+lengths. Recall is that of the candidates: links are exact, some may be missing. A null id has a null component. Rows of
+one id with different vectors are vectors of their own that share an id; rows alike in both count as copies of each other.
+Cosines equal to the threshold link. Vectors of any length are worked on whole.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import components, materialize, mix
+from larkspan.llm.common import components, materialize, mix, release
 
-NEAREST, SHARED = 6, 3
+NEAREST, SHARED = 6, 2
 #: Pivots at least and at most; between, twice the square root of the vectors.
 PIVOTS = (64, 4096)
 BLOCK = 256
+#: Classes of equal vectors up to which they are broadcast (about 40 MB).
+BROADCAST_IDS = 1_000_000
 #: Cosine that two pivots stay below.
 APART = 0.7
 
@@ -80,7 +84,7 @@ def _keys(pivots: np.ndarray):
                 ordered = np.sort(near, axis=1)
                 for j in range(s):
                     key = mix(key + ordered[:, choices[:, j]].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([some.column("rep"), pa.array([x.astype("<i2").tobytes() for x in near], pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))], ["rep", "near", "keys"])
+                yield pa.RecordBatch.from_arrays([some.column("uid"), pa.array([x.astype("<i2").tobytes() for x in near], pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))], ["uid", "near", "keys"])
 
     return run
 
@@ -89,7 +93,7 @@ def _units(threshold: float):
     """From rows in order of (key, i, j): id, weight linked to, and component within each unit."""
 
     def unit(rows: list[dict], first: int, second: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.array([r["rep"] for r in rows], np.int64)
+        ids = np.array([r["uid"] for r in rows], np.int64)
         weight = np.array([r["weight"] for r in rows], np.int64)
         own = np.array([r["own"] for r in rows], np.int64)
         dim = np.array([r["dim"] for r in rows], np.int64)
@@ -163,7 +167,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     rows = materialize(source.mapInArrow(_vectors, "vec_id long, ok boolean, k1 long, k2 long, dim int, vec binary"))
     good = rows.where("ok and vec_id is not null")
-    classes = materialize(good.groupBy("k1", "k2", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec")))
+    classes = materialize(good.groupBy("k1", "k2", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec")).withColumn("uid", F.monotonically_increasing_id()))
     n = classes.count()
     alone = lambda df: df.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     if not n:
@@ -177,14 +181,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         v = np.frombuffer(r[0])
         drawn[i, : len(v)] = v
     pivots = spread(drawn, count)
-    described = materialize(classes.select("rep", "vec").mapInArrow(_keys(pivots), "rep long, near binary, keys array<long>"))
-    listed = described.select("rep", F.posexplode("keys").alias("c", "key"))
+    described = materialize(classes.select("uid", "vec").mapInArrow(_keys(pivots), "uid long, near binary, keys array<long>"))
+    listed = described.select("uid", F.posexplode("keys").alias("c", "key"))
     groups = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     m = min(NEAREST, len(pivots))
     choices = list(itertools.combinations(range(m), min(SHARED, m)))
-    dealt = listed.join(groups, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "rep")
-    dealt = dealt.join(classes.select("rep", "weight", "dim", "vec"), "rep").join(described.select("rep", "near"), "rep")
+    dealt = listed.join(groups, "key").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "uid")
+    dealt = dealt.join(classes.select("uid", "weight", "dim", "vec").join(described.select("uid", "near"), "uid"), "uid")
 
     def with_choice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def marked() -> Iterator[pa.RecordBatch]:
@@ -198,7 +202,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     found = materialize(found)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = materialize(components(found.select(F.col("id").alias("a"), F.col("label").alias("b"))))
-    by_class = classes.join(links, F.col("rep") == F.col("id"), "left").join(comp, F.col("rep") == F.col("node"), "left").select("k1", "k2", "dim", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # the smallest id of each component, from one row for each of its vectors
+    least = comp.join(classes.select(F.col("uid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    own = comp.join(least, "component").select("node", "component_id")
+    by_class = classes.join(links, F.col("uid") == F.col("id"), "left").join(own, F.col("uid") == F.col("node"), "left").select("k1", "k2", "dim", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    by_class = materialize(by_class)
+    by_class = F.broadcast(by_class) if n <= BROADCAST_IDS else by_class
+    release(found, described, comp)
     linked = good.select("vec_id", "k1", "k2", "dim").join(by_class, ["k1", "k2", "dim"]).select("vec_id", "n_links", "component_id")
     rest = rows.where("not ok or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return alone(linked.unionByName(rest))

@@ -434,6 +434,28 @@ def test_embeddings(spark, monkeypatch):
     assert pivot_index.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("cosine", [0.9505, 0.955, 0.96])
+def test_recall_near_the_threshold_with_all_pivots(cosine):
+    """Pairs in 64 dimensions at and above the threshold, with as many pivots as there ever are."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots, a, o = (unit(r.normal(size=(n, 64))) for n in (pivot_index.PIVOTS[1], 500, 500))
+    b = cosine * a + (1 - cosine**2) ** 0.5 * unit(o - (o * a).sum(axis=1, keepdims=True) * a)
+    rows = [x.tobytes() for x in np.vstack([a, b])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.binary())], ["uid", "vec"])
+    keys = [set(k) for out in pivot_index._keys(pivots)([batch]) for k in out.column("keys").to_pylist()]
+    assert np.mean([bool(x & y) for x, y in zip(keys[:500], keys[500:], strict=True)]) >= 0.95
+
+
+def test_embeddings_of_rows_with_one_id(spark):
+    v = lambda *x: [float(c) for c in x]
+    rows = [(1, v(1, 0, 0)), (2, v(0, 1, 0)), (2, v(1, 0.01, 0)), (3, v(0, 1, 0.01)), (4, v(0, 0, 1)), (4, v(0, 0, 1))]
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in pivot_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 1, 2), (3, 1, 2), (4, 1, 4), (4, 1, 4)]
+
+
 # --- 6 ------------------------------------------------------------------------------------------
 def test_quality(spark):
     good = {i: prose(i, 60) + "." for i in range(60)}
@@ -505,6 +527,22 @@ def test_packing(spark, per_part):
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
+@pytest.mark.parametrize("hard", [False, True])
+def test_packing_near_the_bound(spark, hard):
+    """Bins over many partitions with exchanges, against the bound of all pieces; where sizes around a third of the capacity
+    keep best-fit decreasing itself from the bound, against one packing of all."""
+    r = np.random.default_rng(3)
+    sizes = np.concatenate([r.integers(1, 1024, 3000), r.integers(300, 380, 3000) if hard else r.integers(1, 600, 3000)])
+    items = spark.createDataFrame([(None if i % 3 else i, 0, 0, int(x), 7) for i, x in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(items, per_part=500).collect()
+    load = defaultdict(int)
+    for x in rows:
+        load[x.sequence_id] += x.length
+    bound = packing.lower_bound(np.bincount(sizes, minlength=1025))
+    alone = len(packing.best_fit_decreasing(sizes, 1024)[2])
+    assert len(rows) == len(sizes) and max(load.values()) <= 1024 and bound <= len(load) <= 1.005 * (alone if hard else bound)
+
+
 # --- 8 ------------------------------------------------------------------------------------------
 PII = ["mail a.b@x.example.com, ok", "und.34@mail7.example.com", "a@b", "@x.y", "a@b.c@d.e", "1.2.3.4 and 256.1.1.1 and 1.2.3.4.5.6.7.8", "001.2.3.4", "4845168114407329", "4845 1681 1440 7329", "+1 (974) 555-3436.", "+12", "é 4845168114407329 x", "x" * 2000 + "@" + "y" * 50 + ".de", "1" * 3000, "+1" * 200, "1-2-3-4-5-6-7-8-9-0-1-2-3"]
 
