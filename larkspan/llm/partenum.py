@@ -10,8 +10,9 @@ Order of work, made for hot groups: equal sets collapse to one representative be
 group of up to ``GROUP`` representatives gives all its pairs, a larger one a star around its least member. Candidates
 are screened by a byte sketch that never rejects a true pair, then verified on the exact shingle sets: first one pair a
 document (a spanning forest), then only pairs that still cross components. Members of each larger group are then dealt
-in blocks of ``BLOCK``, every block meets every other in a unit of work, and only pairs that cross components and pass
-the screen leave it. No link that joins two components is lost.
+in blocks of ``BLOCK``, two blocks meet in a unit of work, and only pairs that cross components and pass
+the screen leave it; in each group the members of its largest component meet only those outside it, so that the work
+follows the outsiders. No link that joins two components is lost.
 
 A choice of subparts that is empty in a set makes a signature that says little and that many sets have. So there are
 twice ``slack`` more parts than needed: of a similar pair more than ``2 * slack`` parts have few enough differences. A set
@@ -19,7 +20,9 @@ in which no more than ``slack`` parts have an empty choice does without signatur
 shares more than ``slack`` signatures. Pairs that share fewer are no candidates, unless a larger group pairs them.
 
 Null text and text without words is an empty set, linked with nothing; a null id is never linked and keeps a null
-component. Only the two named columns are read; other columns, of any name, don't matter.
+component. Rows of one id and different texts are sets of their own, which share the id in the result; rows alike in both
+are one set. Sets exactly at the threshold link. Long texts are worked on whole. Only the two named columns are read; other
+columns, of any name, don't matter.
 """
 
 from __future__ import annotations
@@ -134,15 +137,22 @@ class Scheme:
         return (np.concatenate(out) if out else np.zeros(0, np.uint64)), bands, sketches
 
 
+def content_keys(h: np.ndarray, off: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two hashes of each set."""
+    out = []
+    for salt in (0, 0x5851F42D4C957F2D):
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h ^ np.uint64(salt)), out=sums[1:])
+        out.append(pa.array(as_signed(sums[off[1:]] - sums[off[:-1]])))
+    return tuple(out)
+
+
 def _prepare(text: str, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent, *LEVEL)
         for b in chunks(batches, text):
             h, off = shingle_sets(b, text, k)
             n = np.diff(off)
-            one, two = np.zeros(len(h) + 1, np.uint64), np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(mix(h), out=one[1:])
-            np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), out=two[1:])
             sig, bands, sketches = [], [], []
             for i in range(b.num_rows):
                 s = h[off[i] : off[i + 1]]
@@ -150,7 +160,7 @@ def _prepare(text: str, k: int, percent: int):
                 for col, x in zip((sig, bands, sketches), (as_signed(found[0]), *found[1:]), strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(as_signed(one[off[1:]] - one[off[:-1]])), pa.array(as_signed(two[off[1:]] - two[off[:-1]])), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.binary()))],
+                [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *content_keys(h, off), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.binary()))],
                 ["doc_id", "n_shingles", "key1", "key2", "sig", "band", "sketch"],
             )
 
@@ -162,42 +172,51 @@ _PREPARED = "doc_id long, n_shingles long, key1 long, key2 long, sig array<long>
 
 def _pairs():
     """From rows (sig, id) in order of sig: pairs of each group with the number of signatures that they need to share; of a
-    large group a star, which needs none, and its members (b null)."""
-
-    def group(sig: int, ids: np.ndarray, out: list) -> None:
-        ids = np.unique(ids)
-        if len(ids) > GROUP:
-            n = len(ids)
-            out.append((np.full(n - 1, sig), np.full(n - 1, ids[0]), ids[1:], np.ones(n - 1, bool), np.zeros(n - 1, np.int64)))
-            out.append((np.full(n, sig), ids, ids, np.zeros(n, bool), np.zeros(n, np.int64)))
-        elif len(ids) > 1:
-            i, j = np.triu_indices(len(ids), 1)
-            out.append((np.full(len(i), sig), ids[i], ids[j], np.ones(len(i), bool), np.full(len(i), sig & 7)))
+    large group a star, which needs none, and its members (b null), of which no more than ``GROUP`` are held."""
 
     def table(out: list) -> pa.RecordBatch:
         sig, a, b, pair, need = (np.concatenate([x[j] for x in out]) for j in range(5))
         return pa.RecordBatch.from_arrays([pa.array(sig, mask=pair), pa.array(a), pa.array(b, mask=~pair), pa.array(need)], ["sig", "a", "b", "need"])
 
+    def star(sig: int, first: int, ids: np.ndarray, out: list) -> None:
+        n = len(ids)
+        out.append((np.full(n, sig), ids, ids, np.zeros(n, bool), np.zeros(n, np.int64)))
+        others = ids[ids != first]
+        n = len(others)
+        out.append((np.full(n, sig), np.minimum(first, others), np.maximum(first, others), np.ones(n, bool), np.zeros(n, np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
+        at, held, first = None, np.zeros(0, np.int64), None
         out: list = []
+
+        def finish() -> None:
+            if first is None and len(held) > 1:
+                i, j = np.triu_indices(len(held), 1)
+                out.append((np.full(len(i), at), held[i], held[j], np.ones(len(i), bool), np.full(len(i), at & 7)))
+
         for b in batches:
-            cols = tuple(b.column(j).to_numpy() for j in range(2))
-            if rest is not None:
-                cols = tuple(np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True))
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1])
-            many = np.diff(edges) > 1
-            for s, e in zip(edges[:-1][many], edges[1:][many], strict=True):
-                group(cols[0][s], cols[1][s:e], out)
+            sig, ids = (b.column(j).to_numpy() for j in range(2))
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1, [len(sig)]])
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if s == e:
+                    continue
+                if sig[s] != at:
+                    finish()
+                    at, held, first = sig[s], np.zeros(0, np.int64), None
+                if first is None:
+                    held = np.unique(np.concatenate([held, ids[s:e]]))
+                    if len(held) > GROUP:
+                        first = held[0]
+                        star(at, first, held, out)
+                else:
+                    star(at, first, np.unique(ids[s:e]), out)
                 if len(out) >= 500:
                     yield table(out)
                     out = []
-            rest = tuple(x[edges[-1] :] for x in cols)
-        if rest is not None and len(rest[0]) > 1:
-            group(rest[0][0], rest[1], out)
+        finish()
         if out:
             yield table(out)
-        del out, rest
+        del out
         give_back()
 
     return run
@@ -222,7 +241,7 @@ def _sets(text: str, k: int):
         for b in chunks(batches, text):
             h, off = shingle_sets(b, text, k)
             raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([raw[8 * s : 8 * e] for s, e in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.diff(off), pa.int64()), *content_keys(h, off), pa.array([raw[8 * s : 8 * e] for s, e in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["doc_id", "n_shingles", "key1", "key2", "set"])
 
     return run
 
@@ -250,31 +269,28 @@ def _screen(percent: int):
 
 
 def _blocks(percent: int):
-    """All pairs of the rows of one or two blocks that cross components and pass the screen."""
+    """All pairs of a row outside the largest component with any other, that cross components and pass the screen."""
 
     def run(table: pa.Table) -> pa.Table:
         scheme = Scheme(percent, *LEVEL)
-        col = {c: table.column(c).to_pylist() for c in ("id", "comp", "n", "own", "band", "sketch")}
-        one = table.column("i")[0].as_py() == table.column("j")[0].as_py() if table.num_rows else True
-        by_band: dict[int, list[tuple[int, bytes]]] = {}
-        for r, (bands, sketches) in enumerate(zip(col["band"], col["sketch"], strict=True)):
+        col = {c: table.column(c).to_pylist() for c in ("id", "comp", "n", "outside", "band", "sketch")}
+        by_band: dict[int, tuple[list, list]] = {}
+        for r, (outside, bands, sketches) in enumerate(zip(col["outside"], col["band"], col["sketch"], strict=True)):
             for band, x in zip(bands, sketches, strict=True):
-                by_band.setdefault(band, []).append((r, x))
-        ids, comp, n, own = (np.array(col[c], np.int64) for c in ("id", "comp", "n", "own"))
+                by_band.setdefault(band, ([], []))[outside].append((r, x))
+        ids, comp, n = (np.array(col[c], np.int64) for c in ("id", "comp", "n"))
         found = set()
-        for rows in by_band.values():
-            at = np.array([r for r, _ in rows])
-            bits = np.frombuffer(b"".join(x for _, x in rows), np.uint8).reshape(len(rows), -1)
-            for k in range(len(rows) - 1):
-                r, others = at[k], at[k + 1 :]
+        for all_, outsiders in by_band.values():
+            if not all_:
+                continue
+            others = np.array([r for r, _ in all_])
+            bits = np.frombuffer(b"".join(x for _, x in all_), np.uint8).reshape(len(all_), -1)
+            for r, x in outsiders:
                 total = n[r] + n[others]
-                ok = (comp[others] != comp[r]) & (100 * np.minimum(n[r], n[others]) >= percent * np.maximum(n[r], n[others]))
-                if not one:
-                    ok &= own[others] != own[r]
-                some = np.flatnonzero(ok)
-                apart = (bits[k + 1 :][some] != bits[k]).sum(axis=1)
-                for x in others[some[apart <= total[some] * (100 - percent) // (100 + percent)]].tolist():
-                    found.add((min(ids[r], ids[x]), max(ids[r], ids[x])))
+                some = np.flatnonzero((comp[others] != comp[r]) & (100 * np.minimum(n[r], n[others]) >= percent * np.maximum(n[r], n[others])))
+                apart = (bits[some] != np.frombuffer(x, np.uint8)).sum(axis=1)
+                for o in others[some[apart <= scheme.most_apart(total[some])]].tolist():
+                    found.add((min(ids[r], ids[o]), max(ids[r], ids[o])))
         pairs = sorted(found)
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
@@ -287,24 +303,28 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A null text has ``n_shingles`` 0 and is its own component; a null id has a null component.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keys = ["n_shingles", "key1", "key2"]
     prepared = materialize(source.mapInArrow(_prepare("text", k, percent), _PREPARED))
-    member = prepared.select("doc_id", "n_shingles", "key1", "key2")
-    classes = member.where("n_shingles > 0").groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    member = materialize(member.join(classes, ["n_shingles", "key1", "key2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    reps = member.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct()
-    few = reps.count() <= BROADCAST_IDS
-    rows = prepared.where("size(sig) > 0").join(F.broadcast(reps) if few else reps, "doc_id", "left_semi")
-    sketches = rows.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "band", "sketch")
+    # a number for each set, which ids may not be
+    classes = prepared.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    classes = materialize(classes.withColumn("uid", F.monotonically_increasing_id()))
+    few = classes.count() <= BROADCAST_IDS
+    small = F.broadcast(classes) if few else classes
+    rows = prepared.where("size(sig) > 0").join(small, keys).where("doc_id = rep").select(F.col("uid").alias("id"), "n_shingles", "sig", "band", "sketch")
+    sketches = rows.dropDuplicates(["id"]).select("id", "n_shingles", "band", "sketch")
 
     def screened(pairs: DataFrame) -> DataFrame:
-        a = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("band").alias("ba"), F.col("sketch").alias("sa"))
-        b = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("band").alias("bb"), F.col("sketch").alias("sb"))
+        a = sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("band").alias("ba"), F.col("sketch").alias("sa"))
+        b = sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("band").alias("bb"), F.col("sketch").alias("sb"))
         return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_screen(percent), "a long, b long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        few = wanted.count() <= BROADCAST_IDS
-        sets = materialize(source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_sets("text", k), "id long, set binary").dropDuplicates(["id"]))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        wanted = materialize(classes.join(wanted, "uid", "left_semi"))
+        of = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        texts = source.join(of.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sets = texts.mapInArrow(_sets("text", k), "doc_id long, n_shingles long, key1 long, key2 long, set binary").join(of, keys).where("doc_id = rep")
+        sets = materialize(sets.select(F.col("uid").alias("id"), "set").dropDuplicates(["id"]))
         x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
         out = materialize(pairs.join(x, "a").join(y, "b").mapInArrow(_similar(percent), "a long, b long"))
         release(wanted, sets)
@@ -314,23 +334,32 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ca, cb = comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         return pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
-    signed = rows.select(F.explode("sig").alias("sig"), F.col("doc_id").alias("id"))
+    signed = rows.select(F.explode("sig").alias("sig"), "id")
     found = materialize(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(), "sig long, a long, b long, need long").groupBy("sig", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("sig", "a", "b"))
     pairs = screened(found.where("b is not null").select("a", "b"))
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     comp = materialize(components(links))
     links = materialize(links.unionByName(verified(across(pairs, comp))))
     comp = materialize(components(links))
-    hot = found.where("b is null").select("sig", F.col("a").alias("doc_id"))
+    hot = found.where("b is null").select("sig", F.col("a").alias("id"))
     if hot.limit(1).count():
-        blocks = hot.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        own = hot.join(blocks, "sig").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        own = hot.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        sized = own.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
         # a group of one component has nothing left to find
-        mixed = own.groupBy("sig").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("sig")
-        own = own.join(mixed, "sig", "left_semi").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", F.col("component").alias("comp"), "own")
-        dealt = dealt.join(sketches, "doc_id").select("sig", "i", "j", F.col("doc_id").alias("id"), "comp", F.col("n_shingles").alias("n"), "own", "band", "sketch")
+        blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+        mixed = materialize(sized.where(F.col("all") > F.col("top.n")).select("sig", F.col("top.comp").alias("largest"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("top.n")).alias("out_blocks")))
+        own = own.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "sig")
+        turn = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        inside = own.select("sig", each("out_blocks").alias("i"), turn("blocks").alias("j"), "id", "comp", F.lit(0).alias("outside"))
+        outside = own.where("comp <> largest").select("sig", turn("out_blocks").alias("i"), each("blocks").alias("j"), "id", "comp", F.lit(1).alias("outside"))
+        dealt = inside.unionByName(outside).join(sketches.withColumnRenamed("n_shingles", "n"), "id")
         more = materialize(dealt.groupBy("sig", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct())
         comp = materialize(components(links.unionByName(verified(more))))
-    release(found, pairs, prepared, links)
-    return member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # the smallest id of each component, from one row for each of its sets
+    least = comp.join(classes.select(F.col("uid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    named = classes.join(comp, F.col("uid") == F.col("node"), "left").join(least, "component", "left").select(*keys, F.coalesce("least", "rep").alias("component_id"))
+    named = materialize(named)
+    out = prepared.select("doc_id", *keys).join(F.broadcast(named) if few else named, keys, "left")
+    release(found, pairs, links)
+    return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))

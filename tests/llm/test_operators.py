@@ -300,6 +300,13 @@ def test_jaccard_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in partenum.similar_components(d).collect())[1:] == [(1, 1), (2, 1)]
 
 
+def test_similar_rows_with_one_id(spark):
+    a, b = prose(70, 60), prose(71, 60)
+    rows = [(1, a), (2, b), (2, a + " end"), (3, b + " end"), (4, prose(72, 50)), (4, prose(72, 50)), (None, a)]
+    got = sorted(((x.doc_id or 0, x.n_shingles, x.component_id) for x in partenum.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 58, 1), (2, 58, 2), (2, 59, 1), (3, 59, 2), (4, 48, 4), (4, 48, 4), (0, 58, None)], key=str)
+
+
 # --- 4 ------------------------------------------------------------------------------------------
 def edit(a, b):
     prev = list(range(len(b) + 1))
