@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import shutil
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,25 @@ def audit(spark, a) -> None:
 
 
 def verify(spark, a) -> None:
+    """The claims joined by the stricter rule, from a table stored for the box of the points where there is one."""
+    from larkspan.sources import extent
+
     points = readings.as_of(spark.read.parquet(a.measurements), a.as_of).where("rsrp is not null")
     box = C.bounds_of(points, C.CHECK_MARGIN)
-    near = C.claims_near(_claims(spark, a.claims, a.environment), a.environment, box).persist()
-    report = {"summary": C.check_summary(points, near).first().asDict(), "by_tier": [r.asDict() for r in C.check_by_tier(points, near).collect()]}
-    print(json.dumps(documents.clean(report), indent=2))
+    if a.table and a.skip_load:
+        near = C.claims_near(extent.reuse(spark, a.table, box), a.environment, box)
+    else:
+        near = C.claims_near(_claims(spark, a.claims, a.environment), a.environment, box)
+        if a.table:
+            extent.load(near, a.table, box)
+            near = spark.read.parquet(a.table)
+    near = near.persist()
+    report = documents.clean({"summary": C.check_summary(points, near).first().asDict(), "by_tier": [r.asDict() for r in C.check_by_tier(points, near).collect()]})
+    print(json.dumps(report, indent=2))
+    if a.json:
+        documents.write_report(a.json, report)
+    if a.table and not a.keep and not a.skip_load:
+        shutil.rmtree(a.table, ignore_errors=True)
 
 
 def publish(spark, a) -> None:
@@ -64,15 +79,24 @@ def interpolate(spark, a) -> None:
 
 
 def suggest(spark, a) -> None:
-    out = runs.suggest_from_file(spark, a.stddev_tif, a.cache_dir, a.out_dir, a.metric, top_n=a.top_n, quantile=a.candidate_quantile, most_road_m=a.max_road_dist_m, apart_m=a.min_separation_m, weak_bias=a.weak_bias)
+    from larkspan.sources import roads
+
+    options = {"top_n": a.top_n, "quantile": a.candidate_quantile, "most_road_m": a.max_road_dist_m, "apart_m": a.min_separation_m, "weak_bias": a.weak_bias, "fetch": roads.overpass(a.network_type), "refresh_roads": a.refresh_roads}
+    if a.recompute:
+        out = runs.suggest_recomputed(spark.read.parquet(a.recompute), config.Config.from_env(output_dir=a.out_dir, kriging=a.kriging), a.cache_dir, a.out_dir, a.metric, **options)
+    else:
+        out = runs.suggest_from_file(spark, a.stddev_tif or f"{a.out_dir}/{a.metric}_kriging_stddev.tif", a.cache_dir, a.out_dir, a.metric, **options)
+    capped = " (more were wanted: targets are ranked against a part of the roads)" if out["tiles_wanted"] > out["tiles_fetched"] else ""
+    print(f"Roads of {out['tiles_fetched']} of {out['tiles_wanted']} tiles{capped}; score: " + (f"reduction of variance within {out['range_m']:.0f} m" if out["range_m"] else "deviation"))
     for s in out["suggestions"]:
         print(f"{s['rank']}. ({s['lat']:.5f}, {s['lon']:.5f}) {s['road_name'] or 'unnamed road'}, deviation {s['stddev']:.2f}, stop {s['visit_order']}")
 
 
 def refresh(spark, a) -> None:
-    rows = spark.read.parquet(a.measurements)
-    done = runs.refresh(rows, f"{a.out_dir}/state.json", lambda: runs.interpolate(rows, config.Config.from_env(output_dir=a.out_dir, kriging=a.kriging), a.metric, a.out_dir), a.force)
-    print("refreshed" if done else "unchanged")
+    from larkspan.sources import roads
+
+    done = runs.refresh_all(spark.read.parquet(a.measurements), config.Config.from_env(output_dir=a.out_dir, kriging=a.kriging), a.metric, a.cache_dir, roads.overpass(a.network_type), a.force)
+    print("unchanged" if done is None else f"refreshed: surfaces and {done['suggestions']} suggestions ({done['scheme']} RMSE {done['rmse']:.2f})")
 
 
 def ingest(spark, a) -> None:
@@ -85,7 +109,7 @@ def ingest(spark, a) -> None:
 def serve(spark, a) -> None:
     from larkspan.serving import serve as run
 
-    run(a.suggestions, a.port)
+    run(a.suggestions, a.port, spark, a.table)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -101,7 +125,7 @@ def parser() -> argparse.ArgumentParser:
     o = lambda *names, **kw: (names, kw)
     source, filing = o("measurements"), [o("claims"), o("--environment", type=int, choices=(0, 1), default=1), o("--as-of")]
     add(audit, source, *filing, o("--out-dir", default="output"), o("--prefix", default="claims"))
-    add(verify, source, *filing)
+    add(verify, source, *filing, o("--table"), o("--skip-load", action="store_true"), o("--keep", action="store_true"), o("--json"))
     add(publish, source, *filing, o("--out", default="output/hexes.geojson"), o("--min-measurements", type=int, default=3))
     add(stats, source)
     mode, metric, out = o("--kriging", type=config.parse_mode), o("--metric", default="rsrp"), o("--out-dir", default="output")
@@ -109,17 +133,18 @@ def parser() -> argparse.ArgumentParser:
         interpolate, source, mode, metric, out, o("--cell-m", type=float), o("--variogram-model", choices=("linear", "power", "gaussian", "spherical", "exponential")), o("--nlags", type=int), o("--min-session-rows", type=int), o("--lag-spacing", type=config.parse_spacing), o("--max-lag-m", type=float),
         o("--support-range-multiple", type=config.parse_multiple), o("--folds", type=int), o("--seed", type=int), o("--block-m", type=float), o("--anisotropy", type=config.parse_anisotropy), o("--none-floor", type=float), o("--dedupe-runs", type=config.parse_bool), o("--compare", action="store_true"),
     )
-    add(suggest, o("stddev_tif"), metric, out, o("--cache-dir", default="cache"), o("--top-n", type=int, default=10), o("--candidate-quantile", type=float, default=0.70), o("--max-road-dist-m", type=float, default=250.0), o("--min-separation-m", type=float, default=1200.0), o("--weak-bias", type=float, default=0.5))
-    add(refresh, source, mode, metric, out, o("--force", action="store_true"))
+    net = o("--network-type", choices=("drive", "drive_service", "all"), default="drive")
+    add(suggest, o("stddev_tif", nargs="?"), o("--recompute", metavar="MEASUREMENTS"), o("--refresh-roads", action="store_true"), net, mode, metric, out, o("--cache-dir", default="cache"), o("--top-n", type=int, default=10), o("--candidate-quantile", type=float, default=0.70), o("--max-road-dist-m", type=float, default=250.0), o("--min-separation-m", type=float, default=1200.0), o("--weak-bias", type=float, default=0.5))
+    add(refresh, source, mode, metric, out, net, o("--cache-dir", default="cache"), o("--force", action="store_true"))
     add(ingest, o("landing"), o("table"), o("checkpoint"), o("--rejects"), o("--every"))
-    add(serve, o("suggestions"), o("--port", type=int, default=8080))
+    add(serve, o("suggestions"), o("--port", type=int, default=8080), o("--table"))
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
-        spark = None if a.command == "serve" else SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        spark = None if a.command == "serve" and not a.table else SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
         if spark is not None:
             from larkspan.runtime import ship
 

@@ -32,28 +32,29 @@ def measurements(spark: SparkSession, sf_dir: str, spread: int = 47) -> DataFram
     return spark.sql(_MEASUREMENTS.format(string="STRING", spread=spread, d="D", events="{events}"), events=table(spark, sf_dir, "events"))
 
 
-# A lattice of hexes: columns, rows, radius in degrees, and its first centre.
-COLS, ROWS, R, LON0, LAT0 = 16, 20, 0.004, -81.80, 32.35
+# A lattice of hexes: columns, rows, radius in degrees, and its first centre; from the other latitude, a corner of hexes is a
+# measured position.
+COLS, ROWS, R, LON0, LAT0, EDGE_LAT0 = 16, 20, 0.004, -81.80, 32.35, 32.346
 STEP_X, STEP_Y = round(R * math.sqrt(3), 6), 1.5 * R
 CORNERS = [(round(R * math.sin(math.radians(60 * k)), 6), round(R * math.cos(math.radians(60 * k)), 6)) for k in range(6)]
 
 
-def hexes() -> list[tuple]:
+def hexes(lat0: float = LAT0) -> list[tuple]:
     """(hex_ord, h3_res9_id, minsignal, environmnt, ring) of the filed hexes."""
     out = []
     for r in range(ROWS):
         for q in range(COLS):
             if r * q % 5 == 4:
                 continue
-            cx, cy = LON0 + q * STEP_X + (r % 2) * STEP_X / 2, LAT0 + r * STEP_Y
+            cx, cy = LON0 + q * STEP_X + (r % 2) * STEP_X / 2, lat0 + r * STEP_Y
             ring = [(round(cx + dx, 6), round(cy + dy, 6)) for dx, dy in CORNERS]
-            out.append((r * COLS + q, f"h{r:02d}{q:02d}", float(-120 + 10 * ((r + q) % 6)), 1, ring))
+            out.append((r * COLS + q, f"h{r:02d}{q:02d}", float(-120 + 10 * ((r + q) % 6)), int((3 * r + q) % 11 != 5), ring))
     return out
 
 
-def claims(spark: SparkSession) -> DataFrame:
+def claims(spark: SparkSession, lat0: float = LAT0) -> DataFrame:
     rows = []
-    for ord_, h3, level, env, ring in hexes():
+    for ord_, h3, level, env, ring in hexes(lat0):
         xs, ys = [p[0] for p in ring], [p[1] for p in ring]
         rows.append((ord_, h3, level, env, ring, min(xs), min(ys), max(xs), max(ys)))
     from larkspan.schemas import CLAIMS
@@ -61,10 +62,12 @@ def claims(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, CLAIMS)
 
 
-def claims_sql() -> str:
-    """``hex_edges``: an edge of a hex a row, with the hex's number, name, level and box."""
+def claims_sql(lat0: float = LAT0) -> str:
+    """``hex_edges``: an edge of a hex of environment 1 a row, with the hex's number, name, level and box."""
     values = []
-    for ord_, h3, level, _, ring in hexes():
+    for ord_, h3, level, env, ring in hexes(lat0):
+        if env != 1:
+            continue
         xs, ys = [p[0] for p in ring], [p[1] for p in ring]
         for k in range(6):
             a, b = ring[k], ring[(k + 1) % 6]
@@ -92,14 +95,11 @@ def roads(spark: SparkSession) -> DataFrame:
 EPSG = 32617
 
 
-def points(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
-    """Modelling rows with planar coordinates; of events with a number below a bound where one is given (small dense systems)."""
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modelling rows with planar coordinates."""
     from larkspan.operators.readings import modelling_rows, projected
 
-    rows = measurements(spark, sf_dir)
-    if below is not None:
-        rows = rows.where(F.col("id") < below)
-    return projected(modelling_rows(rows, dedupe_runs=False, min_session_rows=1), EPSG)[0]
+    return projected(modelling_rows(measurements(spark, sf_dir), dedupe_runs=False, min_session_rows=1), EPSG)[0]
 
 
 def field(spark: SparkSession, n: int = 300) -> DataFrame:

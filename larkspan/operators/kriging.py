@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from larkspan.operators import variogram as V
 
-#: Bytes that one chunk of predictions works in, and cells it has at least.
-CHUNK_BYTES, CHUNK_LEAST = 256 << 20, 256
 #: Points beyond which a dense system is refused; its memory grows with their square and its time with their cube.
 MOST_POINTS = 20_000
+#: Distances between cells and points that are held at a time (32 MB of doubles).
+DISTANCES = 4_000_000
 
 
-def chunk_cells(n: int) -> int:
-    return max(CHUNK_LEAST, CHUNK_BYTES // (7 * (n + 1) * 8))
+def _stretches(cells: int, points: int, size: int | None) -> list[slice]:
+    """Cells in stretches of ``size``, or of as many as :data:`DISTANCES` allows."""
+    size = size or max(1, DISTANCES // max(1, points))
+    return [slice(i, i + size) for i in range(0, cells, size)]
 
 
 def _even(x, y, scaling: float, angle: float, centre) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +84,10 @@ class Ordinary:
             raise ValueError("a chunk has at least one cell")
         x, y = np.asarray(x, float), np.asarray(y, float)
         mean, var = np.empty(len(x)), np.empty(len(x))
-        size = chunk or chunk_cells(len(self.z))
-        pieces = max(1, -(-len(x) // size))
-        for part in np.array_split(np.arange(len(x)), pieces):
+        for part in _stretches(len(x), len(self.z), chunk):
             px, py = _even(x[part], y[part], self.scaling, self.angle, self.centre)
             d = np.hypot(px[:, None] - self.x[None], py[:, None] - self.y[None])
-            b = np.ones((len(part), len(self.z) + 1))
+            b = np.ones((len(px), len(self.z) + 1))
             b[:, :-1] = np.where(d <= 1e-10, 0.0, -V.semivariance(d, self.model, self.params))
             w = b @ self.inverse.T
             mean[part], var[part] = w[:, :-1] @ self.z, -(w * b).sum(axis=1)

@@ -22,7 +22,7 @@ def scored_candidates(surface: DataFrame, segments: DataFrame, cell: float, quan
     edge = surface.agg(F.min("x"), F.min("y"), F.max("row"), F.max("col")).first()
     if edge[0] is None:
         return surface.sparkSession.createDataFrame([], "row int, col int, x double, y double, stddev double, road_name string, road_m double, score double")
-    cells = candidate_cells(surface, quantile).withColumn("id", F.xxhash64("row", "col"))
+    cells = candidate_cells(surface, quantile).withColumn("id", F.col("row").cast("long") * (edge[3] + 1) + F.col("col"))
     on = nearest_road(cells, segments, most_road_m).withColumns({"x": F.col("road_x"), "y": F.col("road_y")})
     on = sample_nearest(on, surface, edge[0], edge[1], edge[2] + 1, edge[3] + 1, cell).where("at_stddev is not null")
     scored = expected_reduction(on, surface, range_m, cell) if range_m else on.withColumn("score", F.col("at_stddev"))

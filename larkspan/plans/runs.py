@@ -125,24 +125,41 @@ def targets(surface: DataFrame, lines: DataFrame, epsg: int, cell: float, range_
         scored.unpersist()
 
 
-def suggest_from_file(spark: SparkSession, tif: str, cache: str, folder: str, metric: str = "rsrp", fetch=None, **options) -> dict:
-    """Suggestions from a stored deviation raster and cached roads, as GeoJSON and, if there are any, GPX."""
-    surface, place = geotiff.read_surface(spark, tif)
+def suggest_over(surface: DataFrame, place: dict, range_m: float | None, cache: str, folder: str, metric: str = "rsrp", fetch=None, refresh_roads: bool = False, **options) -> dict:
+    """Suggestions over a deviation surface and the roads near its candidates, as GeoJSON and, if there are any, GPX."""
+    spark = surface.sparkSession
     from larkspan.functions.geo import utm_inverse
 
     cells = spatial.candidate_cells(surface, options.get("quantile", 0.70))
     lon, lat = utm_inverse(F.col("x"), F.col("y"), place["epsg"])
     # the most uncertain cells claim their tiles first
-    at = suggest.ranked(cells, [F.desc("stddev"), "row", "col"], "pos").select("pos", lon.alias("lon"), lat.alias("lat"))
+    at = cells.select(F.struct(-F.col("stddev"), "row", "col").alias("pos"), lon.alias("lon"), lat.alias("lat"))
     tiles = spatial.road_tiles(at, options.get("most_road_m", 250.0)).orderBy("tile").collect()  # at most 96 rows
     boxes = [(t["lon0"], t["lat0"], t["lon1"], t["lat1"]) for t in tiles]
-    lines = spatial.union_tiles(roads.roads_of_tiles(spark, boxes, cache, fetch))
-    range_m = documents.range_of_report(str(Path(tif).parent / f"{metric}_report.json"))
+    lines = spatial.union_tiles(roads.roads_of_tiles(spark, boxes, cache, fetch, refresh_roads))
     out = targets(surface, lines, place["epsg"], place["cell"], range_m, **options)
     rows = [r.asDict() for r in out.orderBy("rank").collect()]  # top_n rows
-    documents.write_collection(documents.suggestion_features(out, metric), f"{folder}/{metric}_suggestions.geojson", tiles_fetched=len(boxes), tiles_wanted=tiles[0]["wanted"] if tiles else 0)
+    wanted = tiles[0]["wanted"] if tiles else 0
+    documents.write_collection(documents.suggestion_features(out, metric), f"{folder}/{metric}_suggestions.geojson", tiles_fetched=len(boxes), tiles_wanted=wanted)
     documents.write_gpx(f"{folder}/{metric}_suggestions.gpx", rows, metric)
-    return {"suggestions": rows, "tiles_fetched": len(boxes), "tiles_wanted": tiles[0]["wanted"] if tiles else 0}
+    return {"suggestions": rows, "tiles_fetched": len(boxes), "tiles_wanted": wanted, "range_m": range_m}
+
+
+def suggest_from_file(spark: SparkSession, tif: str, cache: str, folder: str, metric: str = "rsrp", **options) -> dict:
+    """:func:`suggest_over` a stored raster, with the range of the report beside it."""
+    surface, place = geotiff.read_surface(spark, tif)
+    return suggest_over(surface, place, documents.range_of_report(str(Path(tif).parent / f"{metric}_report.json")), cache, folder, metric, **options)
+
+
+def suggest_recomputed(measurements: DataFrame, config: Config, cache: str, folder: str, metric: str = "rsrp", **options) -> dict:
+    """:func:`suggest_over` a surface fitted anew, with the settings of an interpolation, its support mask included; nothing
+    is validated or written of it."""
+    run = interpolate(measurements, config, metric, validate=False)
+    surface = run.surface.persist()
+    try:
+        return suggest_over(surface, {"epsg": run.report["epsg"], "cell": config.cell_m}, run.model.range_m, cache, folder, metric, **options)
+    finally:
+        surface.unpersist()
 
 
 # --- refresh ------------------------------------------------------------------------------------
@@ -153,11 +170,27 @@ def should_refresh(before: dict | None, now: dict) -> bool:
     return not isinstance(before, dict) or (before.get("row_count"), before.get("max_id")) != (now["row_count"], now["max_id"])
 
 
-def refresh(measurements: DataFrame, state_path: str, work: Callable[[], object], force: bool = False) -> bool:
-    """Runs ``work`` if the table has changed; the state, taken before, is stored only after it has succeeded."""
+def refresh(measurements: DataFrame, state_path: str, work: Callable[[], dict | None], force: bool = False) -> bool:
+    """Runs ``work`` if the table has changed; the state, taken before, is stored only after it has succeeded, with what
+    ``work`` returns."""
     now = readings.fingerprint(measurements).first().asDict()
     if not force and not should_refresh(documents.read_report(state_path), now):
         return False
-    work()
-    documents.write_report(state_path, now | {"refreshed_at": time.time()})
+    more = work()
+    documents.write_report(state_path, now | {"refreshed_at": time.time()} | (more if isinstance(more, dict) else {}))
     return True
+
+
+def refresh_all(measurements: DataFrame, config: Config, metric: str, cache: str, fetch=None, force: bool = False) -> dict | None:
+    """Surfaces, then suggestions over them, if the table has changed; the headline of the validation and the number of
+    suggestions, or None."""
+    done: dict = {}
+
+    def work() -> dict:
+        run = interpolate(measurements, config, metric, config.output_dir)
+        found = suggest_from_file(measurements.sparkSession, run.paths["stddev"], cache, config.output_dir, metric, fetch=fetch)
+        head = run.headline or {}
+        done.update(kriging=config.kriging, scheme=head.get("scheme"), rmse=head.get("rmse"), suggestions=len(found["suggestions"]))
+        return done
+
+    return done if refresh(measurements, f"{config.output_dir}/state.json", work, force) else None

@@ -141,7 +141,7 @@ def _uploads(spark, sf):
             F.when(bad == 3, "3G").otherwise("LTE").alias("network_type"), F.when(bad == 4, -1.0).alias("speed_mps"), F.when(bad == 5, "x").alias("surprise"),
         )
     )
-    per = e.where("event_id % 5 = 0").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(sample)), ",").alias("s"))
+    per = e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(sample)), ",").alias("s"))
     body = F.concat(F.lit('{"session_id":"'), uuid(F.col("user_id")), F.lit('","carrier":"c","samples":['), F.col("s"), F.lit("]}"))
     return per.select(F.format_string("u%05d", "user_id").alias("batch"), body.alias("body"))
 
@@ -150,7 +150,7 @@ _FAULTS = {1: "recorded_at", 2: "lat", 3: "network_type", 4: "speed_mps", 5: "ex
 
 
 @query(
-    f"""WITH f AS (SELECT user_id, CASE event_id % 97 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _FAULTS.items())} END AS e FROM events WHERE event_id % 5 = 0)
+    f"""WITH f AS (SELECT user_id, CASE event_id % 97 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _FAULTS.items())} END AS e FROM events)
 SELECT printf('u%05d', user_id) AS batch, count(*) AS received, coalesce(string_agg(DISTINCT e, ',' ORDER BY e), '') AS errors FROM f GROUP BY user_id"""
 )
 def validation_errors(spark, sf):
@@ -169,8 +169,8 @@ def _hits(strict: bool) -> str:
   FROM p JOIN hex_edges e ON p.lon BETWEEN e.x0 AND e.x1 AND p.lat BETWEEN e.y0 AND e.y1 GROUP BY p.id, p.lon, p.lat, p.rsrp, e.hex_ord) WHERE {keep}"""
 
 
-def _claims_sql(body: str) -> str:
-    return f"""{M}, p AS (SELECT id, lon, lat, rsrp FROM m WHERE rsrp IS NOT NULL), hex_edges AS ({X.claims_sql()}), loose AS ({_hits(False)}), strict AS ({_hits(True)}),
+def _claims_sql(body: str, lat0: float = X.LAT0) -> str:
+    return f"""{M}, p AS (SELECT id, lon, lat, rsrp FROM m WHERE rsrp IS NOT NULL), hex_edges AS ({X.claims_sql(lat0)}), loose AS ({_hits(False)}), strict AS ({_hits(True)}),
 audit AS (SELECT p.id, p.lon, p.lat, p.rsrp, h.h3_res9_id AS h3, h.minsignal AS claimed, p.rsrp - h.minsignal AS gap, h.id IS NOT NULL AS inside, coalesce(p.rsrp - h.minsignal < 0, false) AS violation
   FROM p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hex_ord) AS n FROM loose) h ON p.id = h.id AND h.n = 1),
 best AS (SELECT *, rsrp - minsignal AS gap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY minsignal DESC, hex_ord) AS n FROM strict) WHERE n = 1),
@@ -183,6 +183,10 @@ def _points(spark, sf):
     return _measurements(spark, sf).where("rsrp is not null").select("id", "lon", "lat", "rsrp")
 
 
+def _claims(spark, lat0=X.LAT0):
+    return C.claims_near(X.claims(spark, lat0), 1)
+
+
 def _audit(spark, sf):
     return runs.audit(_measurements(spark, sf), X.claims(spark))
 
@@ -213,36 +217,36 @@ def audit_worst(spark, sf):
 
 @query(_claims_sql("SELECT id, h3_res9_id AS h3, minsignal AS claimed, gap FROM best"))
 def audit_distinct_on(spark, sf):
-    return C.strict_matches(_points(spark, sf), X.claims(spark)).select("id", "h3", "claimed", "gap")
+    return C.strict_matches(_points(spark, sf), _claims(spark)).select("id", "h3", "claimed", "gap")
 
 
-@query(_claims_sql("SELECT DISTINCT id FROM loose WHERE id NOT IN (SELECT id FROM strict)"))
+@query(_claims_sql("SELECT DISTINCT id FROM loose WHERE id NOT IN (SELECT id FROM strict)", X.EDGE_LAT0))
 def audit_boundary_only(spark, sf):
-    return C.boundary_only(_points(spark, sf), X.claims(spark)).select("id")
+    return C.boundary_only(_points(spark, sf), _claims(spark, X.EDGE_LAT0)).select("id")
 
 
 @query(
     _claims_sql("""SELECT (SELECT count(*) FROM p) AS total, count(*) AS n_inside, count(*) FILTER (WHERE gap < 0) AS violations, round_even(count(*) FILTER (WHERE gap < 0) / nullif(count(*), 0), 4) AS share_of_inside,
   round_even(count(*) FILTER (WHERE gap < 0) / nullif((SELECT count(*) FROM p), 0), 4) AS share_of_all, CAST(round(CAST(avg(gap) FILTER (WHERE gap < 0) AS DECIMAL(38,10)), 2) AS DOUBLE) AS avg_gap,
-  min(gap) FILTER (WHERE gap < 0) AS worst_gap, (SELECT count(DISTINCT id) FROM loose WHERE id NOT IN (SELECT id FROM strict)) AS boundary_only_points FROM best""")
+  min(gap) FILTER (WHERE gap < 0) AS worst_gap, (SELECT count(DISTINCT id) FROM loose WHERE id NOT IN (SELECT id FROM strict)) AS boundary_only_points FROM best""", X.EDGE_LAT0)
 )
 def check_summary(spark, sf):
-    return C.check_summary(_points(spark, sf), X.claims(spark))
+    return C.check_summary(_points(spark, sf), _claims(spark, X.EDGE_LAT0))
 
 
 @query(_claims_sql("SELECT minsignal AS claimed, count(*) AS points, count(*) FILTER (WHERE gap < 0) AS violations, CAST(round(CAST(avg(rsrp) AS DECIMAL(38,10)), 1) AS DOUBLE) AS avg_measured FROM best GROUP BY 1"))
 def check_by_tier(spark, sf):
-    return C.check_by_tier(_points(spark, sf), X.claims(spark))
+    return C.check_by_tier(_points(spark, sf), _claims(spark))
 
 
 @query(_claims_sql("SELECT * FROM hexes"))
 def hex_publish(spark, sf):
-    return C.per_hex(_points(spark, sf), X.claims(spark))
+    return C.per_hex(_points(spark, sf), _claims(spark))
 
 
 @query(_claims_sql("SELECT h3_res9_id, n_measurements, n_violations, worst_gap FROM hexes WHERE n_violations >= 1 AND n_measurements >= 25"))
 def hex_publish_floor(spark, sf):
-    return C.published(C.per_hex(_points(spark, sf), X.claims(spark)), 25).select("h3_res9_id", "n_measurements", "n_violations", "worst_gap")
+    return C.published(C.per_hex(_points(spark, sf), _claims(spark)), 25).select("h3_res9_id", "n_measurements", "n_violations", "worst_gap")
 
 
 @query(
@@ -250,7 +254,7 @@ def hex_publish_floor(spark, sf):
   (SELECT count(*) FILTER (WHERE inside) AS audit_points, count(*) FILTER (WHERE violation) AS audit_violations FROM audit)""")
 )
 def totals_reconcile(spark, sf):
-    return C.reconcile(C.per_hex(_points(spark, sf), X.claims(spark)), _audit(spark, sf))
+    return C.reconcile(C.per_hex(_points(spark, sf), _claims(spark)), _audit(spark, sf))
 
 
 @query(_claims_sql("SELECT DISTINCT hex_ord FROM hex_edges WHERE x1 >= -81.79 AND x0 <= -81.75 AND y1 >= 32.36 AND y0 <= 32.40"))
@@ -327,8 +331,17 @@ def ols_trend(spark, sf):
     return spatial.trend(_with_towers(spark, sf)).select(F.round("intercept", 5).alias("intercept"), F.round("slope", 5).alias("slope"))
 
 
+#: Readings this near to each other are one modelled point.
+_NEAR = 25.0
+
+
+def _merged_sql(snap: float) -> str:
+    """``c``: the modelled points, merged on a lattice."""
+    return f"""{_flat_sql()}, c AS (SELECT min(id) AS id, avg(x) AS x, avg(y) AS y, avg(value) AS value, arg_min(session, id) AS session FROM q GROUP BY round_even(x / {snap}, 0), round_even(y / {snap}, 0))"""
+
+
 def _variogram_sql(edges: str) -> str:
-    return f"""{_flat_sql('rsrp IS NOT NULL AND id < 1500')}, pairs AS (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, 0.5 * (a.value - b.value) * (a.value - b.value) AS s FROM q a JOIN q b ON a.id < b.id),
+    return f"""{_merged_sql(_NEAR)}, pairs AS (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, 0.5 * (a.value - b.value) * (a.value - b.value) AS s FROM c a JOIN c b ON a.id < b.id),
 e AS (SELECT min(d) FILTER (WHERE d > 0) AS lo, max(d) AS hi FROM pairs), edges AS ({edges}), bins AS (SELECT k, v AS v0, lead(v) OVER (ORDER BY k) AS v1 FROM edges)
 SELECT CAST(k AS INTEGER) AS bin, round(avg(d), 3) AS lag, round(avg(s), 4) AS semivariance, count(*) AS pairs FROM pairs JOIN bins ON d >= v0 AND d < v1 WHERE d > 0 GROUP BY k HAVING count(*) >= 10"""
 
@@ -339,12 +352,12 @@ def _rounded_bins(df):
 
 @query(_variogram_sql("SELECT k, 12000.0 * k / 15 AS v FROM e, range(16) r(k)"))
 def variogram_linear(spark, sf):
-    return _rounded_bins(variogram.empirical(X.points(spark, sf, 1500), 15, "linear", 12000.0))
+    return _rounded_bins(variogram.empirical(readings.collapse_coincident(X.points(spark, sf), _NEAR), 15, "linear", 12000.0))
 
 
 @query(_variogram_sql("SELECT k, CASE WHEN k = 0 THEN greatest(25.0, lo) WHEN k = 15 THEN 12000.0 ELSE pow(10, log10(greatest(25.0, lo)) + (log10(12000.0) - log10(greatest(25.0, lo))) * k / 15) END AS v FROM e, range(16) r(k)"))
 def variogram_log(spark, sf):
-    return _rounded_bins(variogram.empirical(X.points(spark, sf, 1500), 15, "log", 12000.0))
+    return _rounded_bins(variogram.empirical(readings.collapse_coincident(X.points(spark, sf), _NEAR), 15, "log", 12000.0))
 
 
 # --- grids, surfaces, roads ---------------------------------------------------------------------
@@ -457,35 +470,38 @@ def road_tile_union(spark, sf):
 
 
 # --- validation ---------------------------------------------------------------------------------
-@query(f"{_flat_sql()} SELECT session, CAST(dense_rank() OVER (ORDER BY session) - 1 AS INTEGER) AS fold, count(*) AS n FROM q GROUP BY 1")
-def session_folds(spark, sf):
-    from pyspark.sql import Window
+def _cloud(spark, sf, snap=700.0):
+    """All readings with a level, merged on a lattice to points that dense systems take."""
+    return kriging.cloud(readings.collapse_coincident(X.points(spark, sf), snap))
+
 
-    # a row for each session
-    rows = X.points(spark, sf).groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("fold", F.dense_rank().over(Window.orderBy("session")) - 1)
+@query(f"{_merged_sql(700.0)} SELECT session, CAST(dense_rank() OVER (ORDER BY session) - 1 AS INTEGER) AS fold, count(*) AS n FROM c GROUP BY 1")
+def session_folds(spark, sf):
+    c = _cloud(spark, sf)
+    rows = spark.createDataFrame(c.assign(fold=crossval.label_folds(c["session"])))
+    return rows.groupBy("session", F.col("fold").cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{_flat_sql()}, bt AS (SELECT CAST(floor((x - min(x) OVER ()) / 2000) AS BIGINT) * 1000003 + CAST(floor((y - min(y) OVER ()) / 2000) AS BIGINT) AS tile FROM q) SELECT tile, count(*) AS n FROM bt GROUP BY 1")
+@query(f"{_merged_sql(700.0)}, bt AS (SELECT CAST(floor((x - min(x) OVER ()) / 2000) AS BIGINT) * 1000003 + CAST(floor((y - min(y) OVER ()) / 2000) AS BIGINT) AS tile FROM c) SELECT tile, count(*) AS n FROM bt GROUP BY 1")
 def block_tiles(spark, sf):
-    p = X.points(spark, sf)
-    b = readings.cloud_bounds(p).select("x_min", "y_min")
-    tile = F.floor((F.col("x") - F.col("x_min")) / 2000) * 1_000_003 + F.floor((F.col("y") - F.col("y_min")) / 2000)
-    return p.crossJoin(F.broadcast(b)).groupBy(tile.alias("tile")).agg(F.count(F.lit(1)).alias("n"))
+    c = _cloud(spark, sf)
+    return spark.createDataFrame(c.assign(tile=crossval.block_tiles(c["x"], c["y"]))).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     """WITH r AS (SELECT o_orderkey % 5 AS fold, o_totalprice / 1000 AS actual, o_totalprice / 1000 + (o_orderkey * 37 % 101 - 50) / 10.0 AS predicted, (o_orderkey % 7) / 1.0 AS kstd FROM orders),
 e AS (SELECT *, predicted - actual AS e, CASE WHEN kstd > 0 THEN (predicted - actual) / kstd END AS z FROM r)
 SELECT count(*) AS n, count(DISTINCT fold) AS folds, round(sqrt(avg(e * e)), 5) AS rmse, round(avg(abs(e)), 5) AS mae, round(avg(e), 5) AS bias, round(corr(actual, predicted), 5) AS r, round(1 - sum(e * e) / (var_pop(actual) * count(*)), 5) AS r2,
-  round(avg(kstd), 5) AS mean_kriging_std, round(stddev_pop(e), 5) AS std_error, round(stddev_pop(z), 5) AS std_std_resid, round(avg(CASE WHEN abs(z) <= 1 THEN 1.0 WHEN z IS NOT NULL THEN 0.0 END), 5) AS within_1s, round(avg(CASE WHEN abs(z) <= 2 THEN 1.0 WHEN z IS NOT NULL THEN 0.0 END), 5) AS within_2s FROM e"""
+  round(avg(kstd), 5) AS mean_kriging_std, round(stddev_pop(e), 5) AS std_error, round(stddev_pop(z), 5) AS std_std_resid, round(avg(CASE WHEN abs(z) <= 1 THEN 1.0 WHEN z IS NOT NULL THEN 0.0 END), 5) AS within_1s, round(avg(CASE WHEN abs(z) <= 2 THEN 1.0 WHEN z IS NOT NULL THEN 0.0 END), 5) AS within_2s,
+  CASE WHEN 1 - sum(e * e) / (var_pop(actual) * count(*)) >= 0.5 THEN 'strong' WHEN 1 - sum(e * e) / (var_pop(actual) * count(*)) >= 0.2 THEN 'moderate' WHEN 1 - sum(e * e) / (var_pop(actual) * count(*)) > 0 THEN 'weak' ELSE 'none' END AS skill,
+  CASE WHEN stddev_pop(z) BETWEEN 0.8 AND 1.25 THEN 'well-calibrated' WHEN stddev_pop(z) > 1.25 THEN 'overconfident' ELSE 'underconfident' END AS calibration FROM e"""
 )
 def cv_metrics(spark, sf):
     o = table(spark, sf, "orders")
     price = F.col("o_totalprice") / 1000
     rows = o.select(F.lit("x").alias("config"), F.lit("x").alias("scheme"), (F.col("o_orderkey") % 5).alias("fold"), price.alias("actual"), (price + (F.col("o_orderkey") * 37 % 101 - 50) / 10.0).alias("predicted"), ((F.col("o_orderkey") % 7) / 1.0).alias("kstd"))
     m = crossval.metrics(rows)
-    return m.select("n", "folds", *(F.round(c, 5).alias(c) for c in ("rmse", "mae", "bias", "r", "r2", "mean_kriging_std", "std_error", "std_std_resid", "within_1s", "within_2s")))
+    return m.select("n", "folds", *(F.round(c, 5).alias(c) for c in ("rmse", "mae", "bias", "r", "r2", "mean_kriging_std", "std_error", "std_std_resid", "within_1s", "within_2s")), "skill", "calibration")
 
 
 @query(
@@ -501,22 +517,17 @@ def variogram_models(spark, sf):
 
 
 # --- kriging: not expressible in SQL ------------------------------------------------------------
-def _cloud(spark, n=300):
-    return kriging.cloud(X.field(spark, n))
-
-
 @query()
 def krige_grid(spark, sf):
-    cloud = _cloud(spark)
-    model = kriging.fit_cloud(kriging.factory("ordinary", model="exponential")(), cloud)
-    points = X.field(spark)
+    points = readings.collapse_coincident(X.points(spark, sf), 700.0)
+    model = kriging.fit_cloud(kriging.factory("ordinary", model="exponential")(), kriging.cloud(points))
     grid = spatial.support_mask(spatial.make_grid(points, 500.0), points, kriging.support_radius(model, 0.3))
     return kriging.predict_grid(grid, model)
 
 
 @query()
 def variogram_fit(spark, sf):
-    cloud = _cloud(spark)
+    cloud = _cloud(spark, sf)
     rows = []
     for m in variogram.MODELS:
         model = kriging.fit_cloud(kriging.factory("ordinary", model=m)(), cloud)
@@ -527,7 +538,7 @@ def variogram_fit(spark, sf):
 
 def _cv(scheme):
     def run(spark, sf):
-        held = crossval.validate(spark, _cloud(spark), {"mode": "ordinary", "model": "exponential"}, 5, 0, 4000.0, (scheme,))
+        held = crossval.validate(spark, _cloud(spark, sf), {"mode": "ordinary", "model": "exponential"}, 5, 0, 4000.0, (scheme,))
         return crossval.metrics(held)
 
     run.__name__ = f"cv_{scheme}"
@@ -540,19 +551,20 @@ for _scheme in crossval.SCHEMES:
 
 @query()
 def pathloss(spark, sf):
-    cloud = _cloud(spark)
-    model = kriging.fit_cloud(kriging.factory("pathloss", model="exponential")(), cloud)
-    return kriging.predict_grid(spatial.support_mask(spatial.make_grid(X.field(spark), 1000.0), X.field(spark), None), model)
+    # finer, so that each radio cell keeps points enough to place its tower
+    points = readings.collapse_coincident(X.points(spark, sf), 500.0)
+    model = kriging.fit_cloud(kriging.factory("pathloss", model="exponential")(), kriging.cloud(points))
+    return kriging.predict_grid(spatial.support_mask(spatial.make_grid(points, 1000.0), points, None), model)
 
 
 @query()
 def compare_models(spark, sf):
-    return crossval.compare(spark, _cloud(spark, 200), {}, 4)
+    return crossval.compare(spark, _cloud(spark, sf, 500.0), {}, 4)
 
 
 @query()
 def anisotropy_scan(spark, sf):
-    return crossval.scan_anisotropy(spark, _cloud(spark, 120), {}, 3)
+    return crossval.scan_anisotropy(spark, _cloud(spark, sf, 1000.0), {}, 3)
 
 
 @query()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.parse
+import urllib.request
 from collections.abc import Callable
 from pathlib import Path
 
@@ -23,6 +25,32 @@ class NoRoads(Exception):
     """What a fetch raises for a box without roads."""
 
 
+#: Public interpreter of OpenStreetMap queries, and classes of ways by network.
+OVERPASS = "https://overpass-api.de/api/interpreter"
+DRIVABLE = "motorway|trunk|primary|secondary|tertiary|unclassified|residential|living_street|road"
+NETWORKS = {"drive": f"^({DRIVABLE})(_link)?$", "drive_service": f"^({DRIVABLE}|service)(_link)?$", "all": "."}
+
+
+def overpass(network: str = "drive", url: str = OVERPASS, timeout: float = 180.0, ask: Callable[[str], bytes] | None = None) -> Callable[[Box], list]:
+    """A fetch of ways by their class; ``ask`` sends a query and returns the answer's bytes."""
+    if network not in NETWORKS:
+        raise ValueError(f"unknown network {network!r}; one of {', '.join(NETWORKS)}")
+
+    def post(query: str) -> bytes:
+        with urllib.request.urlopen(url, urllib.parse.urlencode({"data": query}).encode(), timeout=timeout) as answer:
+            return answer.read()
+
+    def fetch(box: Box) -> list[tuple[list[tuple[float, float]], str | None]]:
+        west, south, east, north = box
+        found = json.loads((ask or post)(f'[out:json][timeout:{timeout:.0f}];way["highway"~"{NETWORKS[network]}"]({south},{west},{north},{east});out geom;'))
+        lines = [([(p["lon"], p["lat"]) for p in e["geometry"]], e.get("tags", {}).get("name")) for e in found.get("elements", []) if e.get("type") == "way" and len(e.get("geometry", ())) > 1]
+        if not lines:
+            raise NoRoads(f"no roads in {box}")
+        return lines
+
+    return fetch
+
+
 def cache_file(cache: str, box: Box) -> Path:
     return Path(cache) / ("roads_" + "_".join(f"{v:.4f}" for v in box) + ".geojson")
 
