@@ -196,10 +196,19 @@ def _pairs():
 
         for b in batches:
             sig, ids = (b.column(j).to_numpy() for j in range(2))
+            if not len(sig):
+                continue
             edges = np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1, [len(sig)]])
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if s == e:
-                    continue
+            size = np.diff(edges)
+            # groups that begin and end in this batch: of one row nothing, of two rows their pair; the others in turn
+            inner = np.ones(len(size), bool)
+            inner[[0, -1]] = False
+            two = edges[:-1][inner & (size == 2)]
+            two = two[ids[two] != ids[two + 1]]
+            if len(two):
+                out.append((sig[two], np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1]), np.ones(len(two), bool), sig[two] & 7))
+            turn = np.flatnonzero(~inner | (size > 2))
+            for s, e in zip(edges[turn], edges[turn + 1], strict=True):
                 if sig[s] != at:
                     finish()
                     at, held, first = sig[s], np.zeros(0, np.int64), None
