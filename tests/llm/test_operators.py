@@ -688,3 +688,37 @@ def test_bpe(spark):
         want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
         assert tuple(rows[i])[1:] == want, text
     assert pair_bpe.encode(empty(spark), path).count() == 0
+
+
+def test_signature_groups(monkeypatch):
+    """Pairs of every small group and members of every large one, however groups lie across batches."""
+    from collections import Counter
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, size = int(rng.integers(1, 400)), int(rng.integers(1, 50))
+        sig = np.sort(rng.integers(0, rng.integers(1, 300), n))
+        ids = rng.integers(0, 200, n)
+        monkeypatch.setattr(partenum, "GROUP", int(rng.integers(3, 60)))
+        batches = [pa.RecordBatch.from_arrays([pa.array(sig[i : i + size]), pa.array(ids[i : i + size])], ["sig", "id"]) for i in range(0, n, size)]
+        rows = [r for t in partenum._pairs()(iter(batches)) for r in t.to_pylist()]
+        pairs, stars = Counter(), set()
+        large = {}
+        for g in np.unique(sig).tolist():
+            members = np.unique(ids[sig == g]).tolist()
+            if len(members) > partenum.GROUP:
+                large[g] = set(members)
+                stars |= set(members)
+            else:
+                pairs.update((a, b, g & 7) for a, b in combinations(members, 2))
+        got = Counter((r["a"], r["b"], r["need"]) for r in rows if r["b"] is not None)
+        found = {}
+        for r in rows:
+            if r["b"] is None:
+                found.setdefault(r["sig"], set()).add(r["a"])
+        assert found == large
+        assert not pairs - got
+        assert all(need == 0 and {a, b} <= stars for a, b, need in got - pairs)
