@@ -186,27 +186,38 @@ def as_signed(x: np.ndarray) -> np.ndarray:
 
 
 # --- components ---------------------------------------------------------------------------------
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for each end of the long pairs ``a``, ``b``.
 
-    Alternating large-star and small-star steps over edges: every step is an aggregation and an equi-join, its result is
-    written to the shared folder, and no neighbour list is gathered in one task.
+    Alternating large-star and small-star steps over edges, the first of two hops: every step is an aggregation and an
+    equi-join, a round is one written table, and no neighbour list is gathered in one task. Each row tells whether its edge
+    has moved; a round in which none has ends the work. With ``known``, components of earlier edges, only those components
+    that the new edges touch are worked on, and the rows of ``known`` are named anew.
     """
-    now = materialize(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    edges = edges.where("a is not null and b is not null")
+    if known is not None:
+        at = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        edges = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # the least neighbour of each node that has a smaller one
+        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        hop = least.select(F.col("a").alias("b"), F.col("m").alias("m1"))
+        hop2 = least.select(F.col("a").alias("m1"), F.col("m").alias("m2"))
+        large = now.join(hop, "b", "left").join(hop2, "m1", "left").select("a", F.coalesce("m2", "m1", "b").alias("b"), F.col("m1").isNotNull().alias("moved"))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        then = materialize(small)
-        state = tuple(then.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
+        own = F.struct("a", F.col("m").alias("b"), "moved")
+        other = F.struct(F.col("b").alias("a"), F.col("m").alias("b"), (F.col("b") != F.col("m")).alias("moved"))
+        met = large.join(lowest, "a").select(F.explode(F.array(own, other)).alias("e")).select("e.*")
+        then = materialize(met.where("a <> b").groupBy("a", "b").agg(F.max("moved").alias("moved")))
         release(now)
         now = then
-        if state == before:
+        if not now.agg(F.max("moved")).first()[0]:
             break
-        before = state
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    if known is None:
+        return found
+    again = known.join(found.select(F.col("node").alias("component"), F.col("component").alias("then")), "component", "left").select("node", F.coalesce("then", "component").alias("component"))
+    return again.unionByName(found.join(known, "node", "left_anti"))

@@ -348,8 +348,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = screened(found.where("b is not null").select("a", "b"))
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     comp = materialize(components(links))
-    links = materialize(links.unionByName(verified(across(pairs, comp))))
-    comp = materialize(components(links))
+    comp = materialize(components(verified(across(pairs, comp)), comp))
     hot = found.where("b is null").select("sig", F.col("a").alias("id"))
     if hot.limit(1).count():
         own = hot.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
@@ -364,7 +363,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         outside = own.where("comp <> largest").select("sig", turn("out_blocks").alias("i"), each("blocks").alias("j"), "id", "comp", F.lit(1).alias("outside"))
         dealt = inside.unionByName(outside).join(sketches.withColumnRenamed("n_shingles", "n"), "id")
         more = materialize(dealt.groupBy("sig", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct())
-        comp = materialize(components(links.unionByName(verified(more))))
+        comp = materialize(components(verified(more), comp))
     # the smallest id of each component, from one row for each of its sets
     least = comp.join(classes.select(F.col("uid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     named = classes.join(comp, F.col("uid") == F.col("node"), "left").join(least, "component", "left").select(*keys, F.coalesce("least", "rep").alias("component_id"))

@@ -63,6 +63,12 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = {x.node: x.component for x in components(spark.createDataFrame([*edges, (None, 1)], "a long, b long")).collect()}
     assert got == {n: find(n) for e in edges for n in e if len({*e}) == 2 or n in got}
+    # new edges on top of known components: the same as all edges at once
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    for cut in (0, 70, 160, len(edges)):
+        known = components(frame(edges[:cut]))
+        more = components(frame(edges[cut:]), known).collect()
+        assert {x.node: x.component for x in more} == got and len(more) == len(got), cut
 
 
 # --- 1 ------------------------------------------------------------------------------------------
