@@ -8,11 +8,13 @@ of its subparts is the same in both sets. Such choices are the signatures; sets
 
 Order of work, made for hot groups: equal sets collapse to one representative before anything is joined; a signature
 group of up to ``GROUP`` representatives gives all its pairs, a larger one a star around its least member. Candidates
-are screened by a byte sketch that never rejects a true pair, then verified on the exact shingle sets: first one pair a
+are screened by a sketch of parity bits that never rejects a true pair, then verified on the exact shingle sets: first one pair a
 document (a spanning forest), then only pairs that still cross components. Members of each larger group are then dealt
 in blocks of ``BLOCK``, two blocks meet in a unit of work, and only pairs that cross components and pass
 the screen leave it; in each group the members of its largest component meet only those outside it, so that the work
-follows the outsiders. No link that joins two components is lost.
+follows the outsiders. This is done twice: first each outsider gives one pair in a unit, with the member of the largest
+component that its sketch is nearest to, and most join it; then those still outside give all their pairs. No link that
+joins two components is lost.
 
 A choice of subparts that is empty in a set makes a signature that says little and that many sets have. So there are
 twice ``slack`` more parts than needed: of a similar pair more than ``2 * slack`` parts have few enough differences. A set
@@ -46,6 +48,8 @@ BLOCK = 256
 #: Ids up to which they are broadcast rather than shuffled with signatures or texts (8 MB).
 BROADCAST_IDS = 1_000_000
 _BAND = 1.3
+#: Parity bits of a sketch for each element that similar sets may differ in.
+_BITS = 16
 
 
 def shingle_sets(batch: pa.RecordBatch, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +109,9 @@ class Scheme:
                     yield i, self.most_apart(high + partner)
 
     def describe(self, s: np.ndarray) -> tuple[np.ndarray, list[int], list[bytes]]:
-        """Signatures of one set of distinct hashes, its bands, and a sketch for each of them: a byte for each subpart, so
-        that sets differ in at least as many elements as bytes. Nothing for bands in which only equal sets are similar."""
+        """Signatures of one set of distinct hashes, its bands, and a sketch for each of them: whether the number of elements
+        in each of many cells is odd, so that sets differ in at least as many elements as bits. Nothing for bands in which
+        only equal sets are similar."""
         out, bands, sketches = [], [], []
         content = mix(s ^ np.uint64(0xA0761D6478BD642F))
         low, high = (content & np.uint64(0xFFFFFFFF)).astype(float), (content >> np.uint64(32)).astype(float)
@@ -123,7 +128,8 @@ class Scheme:
             sums = mix(halves[0] + (halves[1] << np.uint64(32))).reshape(n1, self.n2)
             filled = np.bincount(part, minlength=n1 * self.n2).reshape(n1, self.n2) > 0
             bands.append(band)
-            sketches.append((sums >> np.uint64(56)).astype(np.uint8).tobytes())
+            odd = np.bincount((content % np.uint64(_BITS * d)).astype(np.int64), minlength=_BITS * d) & 1
+            sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
             place = np.arange(n1, dtype=np.uint64) * np.uint64(len(self.choices))
             some = np.stack([filled[:, list(c)].any(axis=1) for c in self.choices])
             every = (~some.all(axis=0)).sum() > slack
@@ -256,7 +262,7 @@ def _sets(text: str, k: int):
 
 
 def _screen(percent: int):
-    """Keeps the pairs whose sketches, in a band that both have, differ in no more bytes than similar sets can."""
+    """Keeps the pairs whose sketches, in a band that both have, differ in no more bits than similar sets can."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent, *LEVEL)
@@ -269,7 +275,7 @@ def _screen(percent: int):
                 for band, x in zip(ba, sa, strict=True) if ok else ():
                     if band in bb:
                         y = sb[bb.index(band)]
-                        ok = int((np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)).sum()) <= d
+                        ok = (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= d
                         break
                 keep.append(ok)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -277,8 +283,9 @@ def _screen(percent: int):
     return run
 
 
-def _blocks(percent: int):
-    """All pairs of a row outside the largest component with any other, that cross components and pass the screen."""
+def _blocks(percent: int, nearest: bool):
+    """Pairs of a row outside the largest component with others, that cross components and pass the screen; with ``nearest``
+    only that of the least apart."""
 
     def run(table: pa.Table) -> pa.Table:
         scheme = Scheme(percent, *LEVEL)
@@ -297,8 +304,12 @@ def _blocks(percent: int):
             for r, x in outsiders:
                 total = n[r] + n[others]
                 some = np.flatnonzero((comp[others] != comp[r]) & (100 * np.minimum(n[r], n[others]) >= percent * np.maximum(n[r], n[others])))
-                apart = (bits[some] != np.frombuffer(x, np.uint8)).sum(axis=1)
-                for o in others[some[apart <= scheme.most_apart(total[some])]].tolist():
+                apart = np.bitwise_count(bits[some] ^ np.frombuffer(x, np.uint8)).sum(axis=1, dtype=np.int64)
+                passed = apart <= scheme.most_apart(total[some])
+                near = some[passed]
+                if nearest and len(near):
+                    near = near[[apart[passed].argmin()]]
+                for o in others[near].tolist():
                     found.add((min(ids[r], ids[o]), max(ids[r], ids[o])))
         pairs = sorted(found)
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
@@ -350,7 +361,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = materialize(components(links))
     comp = materialize(components(verified(across(pairs, comp)), comp))
     hot = found.where("b is null").select("sig", F.col("a").alias("id"))
-    if hot.limit(1).count():
+    for nearest in (True, False) if hot.limit(1).count() else ():
         own = hot.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         sized = own.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
         # a group of one component has nothing left to find
@@ -359,11 +370,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own = own.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "sig")
         turn = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
         each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        inside = own.select("sig", each("out_blocks").alias("i"), turn("blocks").alias("j"), "id", "comp", F.lit(0).alias("outside"))
+        met = own.where("comp = largest") if nearest else own
+        inside = met.select("sig", each("out_blocks").alias("i"), turn("blocks").alias("j"), "id", "comp", F.lit(0).alias("outside"))
         outside = own.where("comp <> largest").select("sig", turn("out_blocks").alias("i"), each("blocks").alias("j"), "id", "comp", F.lit(1).alias("outside"))
         dealt = inside.unionByName(outside).join(sketches.withColumnRenamed("n_shingles", "n"), "id")
-        more = materialize(dealt.groupBy("sig", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct())
-        comp = materialize(components(verified(more), comp))
+        more = materialize(dealt.groupBy("sig", "i", "j").applyInArrow(_blocks(percent, nearest), "a long, b long").distinct())
+        joined = materialize(components(verified(more), comp))
+        release(mixed, more, comp)
+        comp = joined
     # the smallest id of each component, from one row for each of its sets
     least = comp.join(classes.select(F.col("uid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     named = classes.join(comp, F.col("uid") == F.col("node"), "left").join(least, "component", "left").select(*keys, F.coalesce("least", "rep").alias("component_id"))
