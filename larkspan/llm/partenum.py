@@ -12,8 +12,9 @@ are screened by a sketch of parity bits that never rejects a true pair, then ver
 document (a spanning forest), then only pairs that still cross components. Members of each larger group are then dealt
 in blocks of ``BLOCK``, two blocks meet in a unit of work, and only pairs that cross components and pass
 the screen leave it; in each group the members of its largest component meet only those outside it, so that the work
-follows the outsiders. This is done twice: first each outsider gives one pair in a unit, with the member of the largest
-component that its sketch is nearest to, and most join it; then those still outside give all their pairs. No link that
+follows the outsiders. This is done twice: first each outsider meets the largest component of its widest group
+alone and gives one pair in a unit, with the member that its sketch is nearest to; then those still outside meet all
+others and give all their pairs. No link that
 joins two components is lost.
 
 A choice of subparts that is empty in a set makes a signature that says little and that many sets have. So there are
@@ -366,17 +367,25 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sized = own.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
         # a group of one component has nothing left to find
         blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-        mixed = materialize(sized.where(F.col("all") > F.col("top.n")).select("sig", F.col("top.comp").alias("largest"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("top.n")).alias("out_blocks")))
+        mixed = materialize(sized.where(F.col("all") > F.col("top.n")).select("sig", F.col("top.comp").alias("largest"), "all", blocks(F.col("all")).alias("blocks")))
         own = own.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "sig")
-        turn = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        met = own.where("comp = largest") if nearest else own
-        inside = met.select("sig", each("out_blocks").alias("i"), turn("blocks").alias("j"), "id", "comp", F.lit(0).alias("outside"))
-        outside = own.where("comp <> largest").select("sig", turn("out_blocks").alias("i"), each("blocks").alias("j"), "id", "comp", F.lit(1).alias("outside"))
-        dealt = inside.unionByName(outside).join(sketches.withColumnRenamed("n_shingles", "n"), "id")
+        outsiders = own.where("comp <> largest")
+        if nearest:
+            widest = outsiders.groupBy("id").agg(F.max(F.struct("all", "sig")).alias("one")).select("id", F.col("one.sig").alias("sig"))
+            outsiders = outsiders.join(widest, ["id", "sig"], "left_semi")
+        outsiders = materialize(outsiders.select("sig", "id", "comp", "blocks", F.lit(1).alias("outside")))
+        wide = outsiders.groupBy("sig").agg(blocks(F.count(F.lit(1))).alias("out_blocks"))
+        met = (own.where("comp = largest") if nearest else own).select("sig", "id", "comp", "blocks", F.lit(0).alias("outside"))
+        # each row with its sketch once, then in the blocks of the other side
+        turn = lambda c: F.array(F.pmod(F.xxhash64("id"), F.col(c)).cast("int"))
+        each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+        dealt = met.unionByName(outsiders).join(wide, "sig").join(sketches.withColumnRenamed("n_shingles", "n"), "id")
+        dealt = dealt.withColumn("i", F.explode(F.when(F.col("outside") == 1, turn("out_blocks")).otherwise(each("out_blocks"))))
+        dealt = dealt.withColumn("j", F.explode(F.when(F.col("outside") == 1, each("blocks")).otherwise(turn("blocks"))))
+        dealt = dealt.select("sig", "i", "j", "id", "comp", "n", "outside", "band", "sketch")
         more = materialize(dealt.groupBy("sig", "i", "j").applyInArrow(_blocks(percent, nearest), "a long, b long").distinct())
         joined = materialize(components(verified(more), comp))
-        release(mixed, more, comp)
+        release(mixed, outsiders, more, comp)
         comp = joined
     # the smallest id of each component, from one row for each of its sets
     least = comp.join(classes.select(F.col("uid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
