@@ -228,6 +228,39 @@ def test_classes_under_a_short_common_line_are_compared(spark):
     assert {(r.doc_id, r.other_id) for r in rows} == {(3, 2)}
 
 
+def test_every_later_document_has_a_row(spark, monkeypatch):
+    """Whatever the order of rows, the text of the least id leads."""
+    common = prose(9, 60)
+    texts = {i: prose(200 + i, 30) + " " + common + " " + prose(300 + i, 30) for i in range(39, -1, -1)}
+    for together in (500_000, 0):
+        monkeypatch.setattr(compact_windows, "TOGETHER", together)
+        rows = compact_windows.repeated_passages(docs(spark, texts)).collect()
+        assert {r.doc_id for r in rows} == set(range(1, 40)) and {r.other_id for r in rows} >= {0}
+
+
+def test_all_classes_of_a_large_group_are_compared(spark):
+    """80 documents have 42 words in common, too few to be alike; every second one has four more with the one before."""
+    common = prose(8, 42)
+    texts = {i: prose(400 + i, 30) + " " + common + " " + prose(600 + i // 2, 4) + " " + prose(700 + i, 30) for i in range(80)}
+    rows = compact_windows.repeated_passages(docs(spark, texts)).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(i, i - 1) for i in range(1, 80, 2)}
+    assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= 50 for r in rows)
+
+
+def test_texts_that_share_one_run_have_a_short_way(monkeypatch):
+    r = np.random.default_rng(3)
+    some = lambda n, most: r.integers(1, most, n).astype(np.uint64)
+    pairs = []
+    for _ in range(300):
+        most, size, a, b = int(r.choice([2**40, 2**40, 50])), int(r.integers(4, 60)), int(r.integers(0, 60)), int(r.integers(0, 60))
+        x, y = some(130, most), some(140, most)
+        y[b : b + size] = x[a : a + size]
+        pairs.append((x, y))
+    short = [compact_windows.shared_passages(x, y, 5, 50, 0.8) for x, y in pairs]
+    monkeypatch.setattr(compact_windows, "_one_run", lambda p, q: None)
+    assert short == [compact_windows.shared_passages(x, y, 5, 50, 0.8) for x, y in pairs] and any(short)
+
+
 def test_passages_of_rows_with_one_id(spark):
     shared = prose(60, 80)
     rows = [(1, prose(61, 30) + " " + shared), (2, prose(62, 90)), (2, shared + " " + prose(63, 40)), (2, prose(62, 90)), (2, prose(64, 70)), (3, prose(64, 70))]
