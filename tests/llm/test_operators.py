@@ -521,6 +521,36 @@ def test_quality_held_out(spark):
     assert got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.95
 
 
+@pytest.mark.parametrize("shift", [0, 6])
+def test_quality_is_fitted_on_all_rows_and_pairs(spark, shift):
+    """Against the loss summed pair by pair, and the quantile of all scores."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 4))
+    good = x @ [1, -2, 0.5, 0] + r.logistic(size=600) + shift * (x[:, 0] > 0) > 0.3
+    rows = spark.createDataFrame([(v.tobytes(), bool(g)) for v, g in zip(x, good, strict=True)], "x binary, good boolean").repartition(5)
+    got = bradley_terry.fit_rows(rows)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    diff, w = (z[good][:, None] - z[~good][None]).reshape(-1, 4), np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(diff @ w))
+        hess = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + 1e-3 * np.eye(4)
+        w -= np.linalg.solve(hess, 1e-3 * w - p @ diff / len(diff))
+    assert got.weight == pytest.approx(w, abs=1e-3)
+    scores, share = got.raw(x), 1 - good.mean()
+    assert got.point == pytest.approx(np.quantile(scores, [share - 0.002, share + 0.002]).mean(), abs=1e-6)
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    want, seen = lab.where("quality is not null").where(~langid.held_out("doc_id")).join(d, "doc_id").count(), []
+    whole = bradley_terry.fit_rows
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(bradley_terry, "BROADCAST_IDS", most)
+        monkeypatch.setattr(bradley_terry, "fit_rows", lambda rows, cut: seen.append(rows.count()) or whole(rows, cut))
+        bradley_terry.fit(d, lab)
+    assert seen == [want, want]
+
+
 # --- 7 ------------------------------------------------------------------------------------------
 def test_bounds_and_best_fit():
     r = np.random.default_rng(0)
