@@ -12,15 +12,19 @@ are screened by a sketch of parity bits that never rejects a true pair, then ver
 document (a spanning forest), then only pairs that still cross components. Members of each larger group are then dealt
 in blocks of ``BLOCK``, two blocks meet in a unit of work, and only pairs that cross components and pass
 the screen leave it; in each group the members of its largest component meet only those outside it, so that the work
-follows the outsiders. This is done twice: first each outsider meets the largest component of its widest group
+follows the outsiders. An outsider of several groups with one largest component meets all members of that component in
+any larger group, each once and not once a signature; outsiders meet each other by signature. This is done twice: first
+each outsider meets the largest component of its widest group
 alone and gives one pair in a unit, with the member that its sketch is nearest to; then those still outside meet all
 others and give all their pairs. No link that
 joins two components is lost.
 
-A choice of subparts that is empty in a set makes a signature that says little and that many sets have. So there are
-twice ``slack`` more parts than needed: of a similar pair more than ``2 * slack`` parts have few enough differences. A set
-in which no more than ``slack`` parts have an empty choice does without signatures of those, and a similar pair still
-shares more than ``slack`` signatures. Pairs that share fewer are no candidates, unless a larger group pairs them.
+A choice of subparts that is empty in a set makes a signature that says little and that many sets have, in a group that
+grows with the table. So there are ``spare`` more parts than needed: of a similar pair more than ``spare`` parts have few
+enough differences, and more still where a set is of a size at which similar sets differ less than the band allows. A
+set does without the signatures of empty choices where as many parts remain as a similar pair has to share (``need``): a
+choice that both have empty is left out in parts that either of them counts, so the pair still shares ``need`` signatures.
+Pairs that share fewer are no candidates, unless a larger group pairs them.
 
 Null text and text without words is an empty set, linked with nothing; a null id is never linked and keeps a null
 component. Rows of one id and different texts are sets of their own, which share the id in the result; rows alike in both
@@ -98,6 +102,15 @@ class Scheme:
     def slack(n1: int) -> int:
         return 0 if n1 < 3 else 1 if n1 < 8 else 2 if n1 < 24 else 4
 
+    def spare(self, n1: int) -> int:
+        """Parts beyond ``n1``: where there are many, as many more as are likely to have an empty choice."""
+        return 2 * self.slack(n1) + (n1 // 32 if n1 >= 24 else 0)
+
+    def own_apart(self, size: int, band: int) -> int:
+        """Largest difference of a set of this size and a similar one, of which the smaller is in the band."""
+        high = band_bounds(size)[band + 1] - 1
+        return self.most_apart(size + (size * 100 // self.percent if size <= high else high))
+
     def instances(self, size: int) -> Iterator[tuple[int, int]]:
         """(band, largest difference) of the bands for which a set of this size has signatures."""
         bounds = band_bounds(size)
@@ -109,39 +122,55 @@ class Scheme:
                 if size <= partner:
                     yield i, self.most_apart(high + partner)
 
-    def describe(self, s: np.ndarray) -> tuple[np.ndarray, list[int], list[bytes]]:
-        """Signatures of one set of distinct hashes, its bands, and a sketch for each of them: whether the number of elements
-        in each of many cells is odd, so that sets differ in at least as many elements as bits. Nothing for bands in which
-        only equal sets are similar."""
-        out, bands, sketches = [], [], []
-        content = mix(s ^ np.uint64(0xA0761D6478BD642F))
+    def sketches(self, s: np.ndarray) -> tuple[list[int], list[bytes]]:
+        """Bands of one set of distinct hashes, and a sketch for each of them: whether the number of elements in each of
+        many cells is odd, so that sets differ in at least as many elements as bits. Nothing for bands in which only equal
+        sets are similar."""
+        bands, out = [], []
+        content = self._content(s)
+        for band, d in self.instances(len(s)):
+            if d >= 1:
+                bands.append(band)
+                odd = np.bincount((content % np.uint64(_BITS * d)).astype(np.int64), minlength=_BITS * d) & 1
+                out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+        return bands, out
+
+    @staticmethod
+    def _content(s: np.ndarray) -> np.ndarray:
+        return mix(s ^ np.uint64(0xA0761D6478BD642F))
+
+    def signatures(self, s: np.ndarray) -> np.ndarray:
+        """Signatures of one set of distinct hashes, for the bands that have a sketch."""
+        out = []
+        content = self._content(s)
         low, high = (content & np.uint64(0xFFFFFFFF)).astype(float), (content >> np.uint64(32)).astype(float)
         for band, d in self.instances(len(s)):
             if d < 1:
                 continue
             n1 = -(-(d + 1) // (self.k2 + 1))
-            slack = self.slack(n1)
-            n1 += 2 * slack
+            need = self.slack(n1) + 1
+            n1 += self.spare(n1)
             salt = np.full(1, band * 1_000_003 + self.n2, np.uint64)
             part = (mix(s + mix(salt)) % np.uint64(n1 * self.n2)).astype(np.int64)
             # halves of up to two million numbers below 2**32 add up exactly
             halves = [np.bincount(part, weights=w, minlength=n1 * self.n2).astype(np.uint64) for w in (low, high)]
             sums = mix(halves[0] + (halves[1] << np.uint64(32))).reshape(n1, self.n2)
             filled = np.bincount(part, minlength=n1 * self.n2).reshape(n1, self.n2) > 0
-            bands.append(band)
-            odd = np.bincount((content % np.uint64(_BITS * d)).astype(np.int64), minlength=_BITS * d) & 1
-            sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
             place = np.arange(n1, dtype=np.uint64) * np.uint64(len(self.choices))
             some = np.stack([filled[:, list(c)].any(axis=1) for c in self.choices])
-            every = (~some.all(axis=0)).sum() > slack
+            every = (~some.all(axis=0)).sum() > n1 - self.own_apart(len(s), band) // (self.k2 + 1) - need
             for c, choice in enumerate(self.choices):
                 h = place + (np.uint64(c) + (salt << np.uint64(32)))
                 for j in choice:
                     h = mix(h + sums[:, j])
                 # the lowest bits tell how many signatures a similar pair shares at least
-                h = (h & ~np.uint64(7)) | np.uint64(slack + 1)
+                h = (h & ~np.uint64(7)) | np.uint64(need)
                 out.append(h if every else h[some[c]])
-        return (np.concatenate(out) if out else np.zeros(0, np.uint64)), bands, sketches
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def describe(self, s: np.ndarray) -> tuple[np.ndarray, list[int], list[bytes]]:
+        """Signatures, bands and sketches."""
+        return (self.signatures(s), *self.sketches(s))
 
 
 def content_keys(h: np.ndarray, off: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -159,22 +188,32 @@ def _prepare(text: str, k: int, percent: int):
         scheme = Scheme(percent, *LEVEL)
         for b in chunks(batches, text):
             h, off = shingle_sets(b, text, k)
-            n = np.diff(off)
-            sig, bands, sketches = [], [], []
-            for i in range(b.num_rows):
-                s = h[off[i] : off[i + 1]]
-                found = scheme.describe(s) if len(s) else (s, [], [])
-                for col, x in zip((sig, bands, sketches), (as_signed(found[0]), *found[1:]), strict=True):
-                    col.append(x)
+            found = [scheme.sketches(h[s:e]) for s, e in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *content_keys(h, off), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.binary()))],
-                ["doc_id", "n_shingles", "key1", "key2", "sig", "band", "sketch"],
+                [b.column(0).cast(pa.int64()), pa.array(np.diff(off), pa.int64()), *content_keys(h, off), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.binary()))],
+                ["doc_id", "n_shingles", "key1", "key2", "band", "sketch"],
             )
 
     return run
 
 
-_PREPARED = "doc_id long, n_shingles long, key1 long, key2 long, sig array<long>, band array<int>, sketch array<binary>"
+_PREPARED = "doc_id long, n_shingles long, key1 long, key2 long, band array<int>, sketch array<binary>"
+
+
+def _signed(text: str, k: int, percent: int):
+    """Signatures, made on the way to where they are joined: they take more room than the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(percent, *LEVEL)
+        for b in chunks(batches, text):
+            h, off = shingle_sets(b, text, k)
+            sig = [as_signed(scheme.signatures(h[s:e])) for s, e in zip(off[:-1], off[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.diff(off), pa.int64()), *content_keys(h, off), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key1", "key2", "sig"])
+
+    return run
+
+
+_SIGNED = "doc_id long, n_shingles long, key1 long, key2 long, sig array<long>"
 
 
 def _pairs():
@@ -284,6 +323,46 @@ def _screen(percent: int):
     return run
 
 
+#: Signatures of members of larger groups that a task looks at together.
+TOGETHER = 1_000_000
+
+
+def _gathered(ids: bool):
+    """From rows (id, comp, sigs): of those that a task sees together, the number of each signature's members of one
+    component, or the members themselves."""
+
+    def together(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        sigs = table.column("sigs").combine_chunks()
+        sig, row = sigs.flatten().to_numpy(), np.repeat(np.arange(len(table)), np.diff(sigs.offsets.to_numpy()))
+        own, comp = (table.column(c).to_numpy()[row] for c in ("id", "comp"))
+        order = np.lexsort((comp, sig))
+        sig, comp, own = sig[order], comp[order], own[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])
+        first = np.flatnonzero(new)
+        off = np.append(first, len(sig))
+        last = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(own)) if ids else pa.array(np.diff(off), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(comp[first]), last], ["sig", "comp", "ids" if ids else "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
+        held = 0
+        for b in batches:
+            if b.num_rows:
+                rows.append(b)
+                held += len(b.column("sigs").flatten())
+            if held > TOGETHER:
+                yield together(rows)
+                rows, held = [], 0
+        if rows:
+            yield together(rows)
+        del rows
+        give_back()
+
+    return run
+
+
 def _blocks(percent: int, nearest: bool):
     """Pairs of a row outside the largest component with others, that cross components and pass the screen; with ``nearest``
     only that of the least apart."""
@@ -331,8 +410,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialize(classes.withColumn("uid", F.monotonically_increasing_id()))
     few = classes.count() <= BROADCAST_IDS
     small = F.broadcast(classes) if few else classes
-    rows = prepared.where("size(sig) > 0").join(small, keys).where("doc_id = rep").select(F.col("uid").alias("id"), "n_shingles", "sig", "band", "sketch")
-    sketches = rows.dropDuplicates(["id"]).select("id", "n_shingles", "band", "sketch")
+    rows = prepared.where("size(band) > 0").join(small, keys).where("doc_id = rep")
+    sketches = rows.select(F.col("uid").alias("id"), "n_shingles", "band", "sketch").dropDuplicates(["id"])
 
     def screened(pairs: DataFrame) -> DataFrame:
         a = sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("band").alias("ba"), F.col("sketch").alias("sa"))
@@ -355,42 +434,51 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ca, cb = comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         return pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
-    signed = rows.select(F.explode("sig").alias("sig"), "id")
+    signed = source.mapInArrow(_signed("text", k, percent), _SIGNED).where("size(sig) > 0").join(small, keys).where("doc_id = rep").select(F.explode("sig").alias("sig"), F.col("uid").alias("id"))
     found = materialize(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(), "sig long, a long, b long, need long").groupBy("sig", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("sig", "a", "b"))
     pairs = screened(found.where("b is not null").select("a", "b"))
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     comp = materialize(components(links))
     comp = materialize(components(verified(across(pairs, comp)), comp))
     hot = found.where("b is null").select("sig", F.col("a").alias("id"))
+    # one row for each member, with the signatures of its larger groups
+    hot = materialize(hot.groupBy("id").agg(F.collect_set("sig").alias("sigs")))
     for nearest in (True, False) if hot.limit(1).count() else ():
-        own = hot.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        sized = own.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+        own = hot.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sigs")
+        own = materialize(own)
+        sized = own.mapInArrow(_gathered(False), "sig long, comp long, n long").groupBy("sig", "comp").agg(F.sum("n").alias("n")).groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
         # a group of one component has nothing left to find
         blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-        mixed = materialize(sized.where(F.col("all") > F.col("top.n")).select("sig", F.col("top.comp").alias("largest"), "all", blocks(F.col("all")).alias("blocks")))
-        own = own.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "sig")
-        outsiders = own.where("comp <> largest")
+        mixed = materialize(sized.where(F.col("all") > F.col("top.n")).select("sig", F.col("top.comp").alias("largest"), "all"))
+        held = own.mapInArrow(_gathered(True), "sig long, comp long, ids array<long>").withColumnRenamed("sig", "of")
+        outsiders = held.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, (F.col("of") == F.col("sig")) & (F.col("comp") != F.col("largest")))
+        outsiders = outsiders.select("sig", F.explode("ids").alias("id"), "comp", "largest", "all")
         if nearest:
-            widest = outsiders.groupBy("id").agg(F.max(F.struct("all", "sig")).alias("one")).select("id", F.col("one.sig").alias("sig"))
-            outsiders = outsiders.join(widest, ["id", "sig"], "left_semi")
-        outsiders = materialize(outsiders.select("sig", "id", "comp", "blocks", F.lit(1).alias("outside")))
-        wide = outsiders.groupBy("sig").agg(blocks(F.count(F.lit(1))).alias("out_blocks"))
-        met = (own.where("comp = largest") if nearest else own).select("sig", "id", "comp", "blocks", F.lit(0).alias("outside"))
+            outsiders = outsiders.groupBy("id").agg(F.max(F.struct("all", "sig", "comp", "largest")).alias("one")).select("id", "one.*")
+        outsiders = materialize(outsiders)
+        # members of a group's largest component are met by component, other outsiders by signature
+        by = lambda c, single: outsiders.select(F.lit(single).alias("single"), F.col(c).alias("key"), "id", "comp").distinct()
+        out = by("largest", False) if nearest else by("largest", False).unionByName(by("sig", True))
+        wide = materialize(out.groupBy("single", "key").agg(blocks(F.count(F.lit(1))).alias("out_blocks")))
+        few_keys = F.broadcast(wide) if wide.count() <= BROADCAST_IDS else wide
+        met = own.select(F.lit(False).alias("single"), F.col("comp").alias("key"), "id", "comp").join(few_keys.where("not single").select("key"), "key", "left_semi")
+        met = materialize((met if nearest else met.unionByName(by("sig", True))).select("single", "key", "id", "comp"))
+        deep = met.groupBy("single", "key").agg(blocks(F.count(F.lit(1))).alias("blocks"))
         # each row with its sketch once, then in the blocks of the other side
         turn = lambda c: F.array(F.pmod(F.xxhash64("id"), F.col(c)).cast("int"))
         each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-        dealt = met.unionByName(outsiders).join(wide, "sig").join(sketches.withColumnRenamed("n_shingles", "n"), "id")
+        dealt = met.withColumn("outside", F.lit(0)).unionByName(out.withColumn("outside", F.lit(1))).join(few_keys, ["single", "key"]).join(deep, ["single", "key"]).join(sketches.withColumnRenamed("n_shingles", "n"), "id")
         dealt = dealt.withColumn("i", F.explode(F.when(F.col("outside") == 1, turn("out_blocks")).otherwise(each("out_blocks"))))
         dealt = dealt.withColumn("j", F.explode(F.when(F.col("outside") == 1, each("blocks")).otherwise(turn("blocks"))))
-        dealt = dealt.select("sig", "i", "j", "id", "comp", "n", "outside", "band", "sketch")
-        more = materialize(dealt.groupBy("sig", "i", "j").applyInArrow(_blocks(percent, nearest), "a long, b long").distinct())
+        dealt = dealt.select("single", "key", "i", "j", "id", "comp", "n", "outside", "band", "sketch")
+        more = materialize(dealt.groupBy("single", "key", "i", "j").applyInArrow(_blocks(percent, nearest), "a long, b long").distinct())
         joined = materialize(components(verified(more), comp))
-        release(mixed, outsiders, more, comp)
+        release(own, mixed, outsiders, wide, met, more, comp)
         comp = joined
     # the smallest id of each component, from one row for each of its sets
     least = comp.join(classes.select(F.col("uid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     named = classes.join(comp, F.col("uid") == F.col("node"), "left").join(least, "component", "left").select(*keys, F.coalesce("least", "rep").alias("component_id"))
     named = materialize(named)
     out = prepared.select("doc_id", *keys).join(F.broadcast(named) if few else named, keys, "left")
-    release(found, pairs, links)
+    release(found, hot, pairs, links)
     return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))

@@ -333,6 +333,14 @@ def test_signatures_meet():
                 assert len(np.intersect1d(scheme.describe(np.unique(s))[0], scheme.describe(np.unique(t))[0]))
 
 
+def test_signatures_of_empty_choices():
+    """Sets that have nothing in common share no signature, however many parts of theirs are empty."""
+    r = np.random.default_rng(2)
+    scheme = partenum.Scheme(80, *partenum.LEVEL)
+    found = [scheme.describe(r.integers(0, 2**63, n).astype(np.uint64))[0] for n in r.integers(900, 2500, 120)]
+    assert (np.unique(np.concatenate(found), return_counts=True)[1] == 1).all()
+
+
 def test_jaccard_edges(spark):
     assert partenum.similar_components(empty(spark)).count() == 0
     d = docs(spark, {1: BASE, 2: BASE}).unionByName(docs(spark, {3: BASE}).withColumn("doc_id", F.lit(None).cast("long")))
