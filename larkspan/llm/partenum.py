@@ -13,7 +13,8 @@ document (a spanning forest), then only pairs that still cross components. Membe
 in blocks of ``BLOCK``, two blocks meet in a unit of work, and only pairs that cross components and pass
 the screen leave it; in each group the members of its largest component meet only those outside it, so that the work
 follows the outsiders. An outsider of several groups with one largest component meets all members of that component in
-any larger group, each once and not once a signature; outsiders meet each other by signature. This is done twice: first
+any larger group, each once and not once a signature; outsiders of one component meet each other so too, or by signature
+where that makes fewer pairs. This is done twice: first
 each outsider meets the largest component of its widest group
 alone and gives one pair in a unit, with the member that its sketch is nearest to; then those still outside meet all
 others and give all their pairs. No link that
@@ -456,13 +457,22 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if nearest:
             outsiders = outsiders.groupBy("id").agg(F.max(F.struct("all", "sig", "comp", "largest")).alias("one")).select("id", "one.*")
         outsiders = materialize(outsiders)
-        # members of a group's largest component are met by component, other outsiders by signature
-        by = lambda c, single: outsiders.select(F.lit(single).alias("single"), F.col(c).alias("key"), "id", "comp").distinct()
-        out = by("largest", False) if nearest else by("largest", False).unionByName(by("sig", True))
+        # members of a group's largest component are met by component; so are its other outsiders, or by signature where that
+        # makes fewer pairs
+        by = lambda c, single, of=outsiders: of.select(F.lit(single).alias("single"), F.col(c).alias("key"), "id", "comp").distinct()
+        out = others = by("largest", False)
+        if not nearest:
+            pairs_of = outsiders.groupBy("largest", "sig").agg(F.count(F.lit(1)).alias("n")).groupBy("largest").agg(F.sum(F.col("n") * F.col("n")).alias("each"))
+            sparse = materialize(pairs_of.join(outsiders.groupBy("largest").agg(F.countDistinct("id").alias("m")), "largest").where(F.col("m") * F.col("m") > F.col("each")).select(F.col("largest").alias("key")))
+            sparse = F.broadcast(sparse) if sparse.count() <= BROADCAST_IDS else sparse
+            single = by("sig", True, outsiders.join(sparse, F.col("largest") == F.col("key"), "left_semi"))
+            others = out.join(sparse, "key", "left_anti").select(*out.columns).unionByName(single)
+            out = out.unionByName(single)
         wide = materialize(out.groupBy("single", "key").agg(blocks(F.count(F.lit(1))).alias("out_blocks")))
         few_keys = F.broadcast(wide) if wide.count() <= BROADCAST_IDS else wide
         met = own.select(F.lit(False).alias("single"), F.col("comp").alias("key"), "id", "comp").join(few_keys.where("not single").select("key"), "key", "left_semi")
-        met = materialize((met if nearest else met.unionByName(by("sig", True))).select("single", "key", "id", "comp"))
+        met = met.select("single", "key", "id", "comp")
+        met = materialize(met if nearest else met.unionByName(others))
         deep = met.groupBy("single", "key").agg(blocks(F.count(F.lit(1))).alias("blocks"))
         # each row with its sketch once, then in the blocks of the other side
         turn = lambda c: F.array(F.pmod(F.xxhash64("id"), F.col(c)).cast("int"))

@@ -341,6 +341,23 @@ def test_signatures_of_empty_choices():
     assert (np.unique(np.concatenate(found), return_counts=True)[1] == 1).all()
 
 
+@pytest.mark.parametrize("sparse", [True, False])
+def test_members_dealt_once(spark, monkeypatch, sparse):
+    """A member of many large groups of one component comes to its blocks once, and not once a signature."""
+    monkeypatch.setattr(partenum, "GROUP", 10)
+    dealt = []
+    write = partenum.materialize
+    monkeypatch.setattr(partenum, "materialize", lambda df: dealt.append(write(df)) or dealt[-1])
+    monkeypatch.setattr(partenum, "release", lambda *frames: None)
+    texts = variants(6, 60, 200, 24) if sparse else variants(7, 40, 150, 11)
+    want, _ = jaccard_classes(dict(enumerate(texts)), 3, 90)
+    rows = partenum.similar_components(docs(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want and 1 < len(set(want.values())) < len(texts)
+    met = [t for t in dealt if t.columns == ["single", "key", "id", "comp"]]
+    assert met and all(0 < t.where("not single").count() == t.where("not single").select("key", "id").distinct().count() for t in met)
+    assert met[0].count() <= len(texts)
+
+
 def test_jaccard_edges(spark):
     assert partenum.similar_components(empty(spark)).count() == 0
     d = docs(spark, {1: BASE, 2: BASE}).unionByName(docs(spark, {3: BASE}).withColumn("doc_id", F.lit(None).cast("long")))
