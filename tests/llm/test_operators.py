@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +262,39 @@ def test_texts_that_share_one_run_have_a_short_way(monkeypatch):
     assert short == [compact_windows.shared_passages(x, y, 5, 50, 0.8) for x, y in pairs] and any(short)
 
 
+def test_least_distinct_and_alike_somewhere():
+    r = np.random.default_rng(17)
+    for _ in range(300):
+        most, n, width = int(r.choice([2, 5, 40, 2**40])), int(r.integers(0, 60)), int(r.integers(1, 20))
+        t = r.integers(0, most, n).astype(np.uint64)
+        assert compact_windows.least_distinct(t, width) == min((len(set(t[k : k + width].tolist())) for k in range(n - width + 1)), default=0)
+        hit = r.random((4, n)) < r.choice([0.7, 0.85, 0.95])
+        assert compact_windows.alike_somewhere(hit, width, 0.8).tolist() == [any(True for _ in compact_windows._alike(h, width, 0.8)) for h in hit]
+
+
+def test_blocks_verify_only_what_can_be_alike(monkeypatch):
+    """Runs of one word, and texts with hits all over but no alike stretch, are told without a comparison; nothing else is."""
+    r = np.random.default_rng(23)
+    some = lambda n: r.integers(1, 2**62, n).astype(np.uint64)
+    passage, word, frame = some(60), some(1), some(300)
+    runs = [np.concatenate([some(40), np.repeat(word, 47), some(40)]) for _ in range(12)]
+    # of a frame, words from 16 to 23 of each 43 are their own
+    holes = [np.where((np.arange(300) % 43 >= 16) & (np.arange(300) % 43 < 24), some(300), frame) for _ in range(12)]
+    alike = [np.concatenate([some(int(k)), passage, some(30)]) for k in r.integers(5, 40, 6)]
+
+    def met(texts):
+        ask = [0] * len(texts) + [1] * len(texts)
+        n = np.tile(np.arange(len(texts)), 2)
+        return compact_windows._met(5, 50, 0.8)(pa.table({"uid": n, "comp": n, "s": pa.array(n * 0, pa.int32()), "raw": pa.array([t.tobytes() for t in texts] * 2, pa.binary()), "asks": pa.array(ask, pa.int32())})).to_pylist()
+
+    calls, whole = [], compact_windows.shared_passages
+    monkeypatch.setattr(compact_windows, "shared_passages", lambda *a: calls.append(a) or whole(*a))
+    assert met(runs) == [] and met(holes) == [] and not calls
+    texts = [*runs, *alike, *holes, np.concatenate([runs[0], alike[0]])]
+    expect = [(i, j, *f) for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j for f in whole(x, y, 5, 50, 0.8)]
+    assert sorted(tuple(d.values()) for d in met(texts)) == sorted(expect) and len(expect) > 15
+
+
 def test_passages_of_rows_with_one_id(spark):
     shared = prose(60, 80)
     rows = [(1, prose(61, 30) + " " + shared), (2, prose(62, 90)), (2, shared + " " + prose(63, 40)), (2, prose(62, 90)), (2, prose(64, 70)), (3, prose(64, 70))]
