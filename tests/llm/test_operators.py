@@ -287,8 +287,8 @@ def test_blocks_verify_only_what_can_be_alike(monkeypatch):
         n = np.tile(np.arange(len(texts)), 2)
         return compact_windows._met(5, 50, 0.8)(pa.table({"uid": n, "comp": n, "s": pa.array(n * 0, pa.int32()), "raw": pa.array([t.tobytes() for t in texts] * 2, pa.binary()), "asks": pa.array(ask, pa.int32())})).to_pylist()
 
-    calls, whole = [], compact_windows.shared_passages
-    monkeypatch.setattr(compact_windows, "shared_passages", lambda *a: calls.append(a) or whole(*a))
+    calls, whole, stretches = [], compact_windows.shared_passages, compact_windows.shared_stretches
+    monkeypatch.setattr(compact_windows, "shared_stretches", lambda *a: calls.append(a) or stretches(*a))
     assert met(runs) == [] and met(holes) == [] and not calls
     texts = [*runs, *alike, *holes, np.concatenate([runs[0], alike[0]])]
     expect = [(i, j, *f) for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j for f in whole(x, y, 5, 50, 0.8)]
